@@ -63,3 +63,20 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
     left = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*on, salt], how).drop(salt)
+
+
+def carried(rows: DataFrame, keys: list[str], chunk: str, summary: Column, out: str, how: str = "last") -> DataFrame:
+    """``rows`` with ``out``: what the chunks of the same keys before this one add up to ('last', 'max' or 'sum').
+
+    Ordered work over groups of any size goes chunk by chunk: a window inside (keys, chunk), a ``summary`` aggregated
+    for each chunk, and this carry over the chunks, of which a group has few. Nulls in keys are equal.
+    """
+    from pyspark.sql import Window
+
+    s, *ks = fresh(rows, "s", *(f"k{i}" for i in range(len(keys) + 1)))
+    short = rows.groupBy(*[col(k).alias(a) for k, a in zip([*keys, chunk], ks)]).agg(summary.alias(s))
+    before = Window.partitionBy(*ks[:-1]).orderBy(ks[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    f = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "sum": F.sum}[how]
+    short = short.withColumn(out, f(col(s)).over(before)).drop(s)
+    same = [col(k).eqNullSafe(col(a)) for k, a in zip([*keys, chunk], ks)]
+    return rows.join(short, same, "left").drop(*ks)
