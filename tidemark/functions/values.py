@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The letter that orders each kind of value in an index, null and missing being the same.
 LETTERS = {"array": "A", "bool": "B", "id": "D", "float": "F", "int": "I", "null": "N", "object": "O", "string": "S", "bytes": "Y"}
@@ -42,18 +43,20 @@ def at_path(v: Column, path: str) -> Column:
 
 def kind(v: Column) -> Column:
     """The kind of a VARIANT: 'null' for a null in it, SQL null where it is missing."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None))
-        .when(F.is_variant_null(v), "null")
-        .when(s == "BOOLEAN", "bool")
-        .when(s == "BIGINT", "int")
-        .when(s.isin("DOUBLE", "FLOAT") | s.startswith("DECIMAL"), "float")
-        .when(s == "STRING", "string")
-        .when(s == "BINARY", "bytes")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
-    )
+
+    def named(s: Column) -> Column:
+        return (
+            F.when(s == "VOID", "null")
+            .when(s == "BOOLEAN", "bool")
+            .when(s == "BIGINT", "int")
+            .when(s.isin("DOUBLE", "FLOAT") | s.startswith("DECIMAL"), "float")
+            .when(s == "STRING", "string")
+            .when(s == "BINARY", "bytes")
+            .when(s.startswith("ARRAY"), "array")
+            .when(s.startswith("OBJECT"), "object")
+        )
+
+    return F.transform(F.array(F.schema_of_variant(v)), named)[0]  # the schema is worked out once
 
 
 def _strict(v: Column, want: str, sql_type: str) -> Column:
@@ -101,7 +104,7 @@ def get_strict(v: Column, name: str) -> Column:
     return F.when(has_key(v, name), at_path(v, name)).otherwise(F.raise_error(F.lit(f"no field {name}")).cast("variant"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _float_bits(s: pd.Series) -> pd.Series:
     """Sixteen hex digits that order as the floats do, the negative zero before the positive one, NaN above all."""
     v = s.to_numpy(dtype="float64", na_value=np.nan).view("int64")
