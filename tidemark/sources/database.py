@@ -64,7 +64,7 @@ class Database:
         self.ensure_collection(name)
         changelog.put_many(self.spark, self._at(name, "log"), docs, name, order)
 
-    def put(self, name: str, doc_id: str, **fields: object) -> None:
+    def put(self, name: str, doc_id: str, /, **fields: object) -> None:
         kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
         schema = T.StructType([T.StructField(KEY, T.StringType()), *[T.StructField(k, kinds[type(v)]) for k, v in fields.items() if v is not None]])
         self.put_many(name, self.spark.createDataFrame([(doc_id, *[v for v in fields.values() if v is not None])], schema))
