@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators import spatial
+from tidemark.operators import neighbours, spatial
 
 PLACES = [("sf", -122.42, 37.77), ("oak", -122.27, 37.80), ("la", -118.24, 34.05), ("ny", -74.00, 40.71), ("lon", -0.13, 51.50)]
 P = "doc_id string, lon double, lat double"
@@ -103,11 +103,31 @@ def test_points_in_a_diamond_and_joins_against_brute_force(spark):
     df = spark.createDataFrame(data, P)
     got = {(r.doc_id, r.zone) for r in spatial.points_in_polygons(df, spatial.with_polygons(z), cell=7).collect()}
     assert got == {(k, i) for k, x, y in data for i, cx, cy, h in boxes if abs(x - cx) + abs(y - cy) < h}
-    q = spark.createDataFrame([(i, x, y) for i, x, y, _ in boxes], "query_id int, qx double, qy double")
-    got = {}
-    for row in spatial.nearest_join(q, df, 4).orderBy("query_id", "rank").collect():
-        got.setdefault(row.query_id, []).append(row.doc_id)
-    assert got == {i: [k for _, k in sorted((math.hypot(px - x, py - y), k) for k, px, py in data)[:4]] for i, x, y, _ in boxes}
-    with pytest.raises(ValueError):
-        spatial.nearest_join(q, df, 4, limit=10)
     assert tuple(spatial.union_box(spatial.with_polygons(z).limit(0)).select("area").first()) == (0.0,)
+
+
+def arc(a, b):
+    lon, lat, lon2, lat2 = map(math.radians, (*a, *b))
+    h = math.sin((lat2 - lat) / 2) ** 2 + math.cos(lat) * math.cos(lat2) * math.sin((lon2 - lon) / 2) ** 2
+    return 2 * 6371008.8 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+@pytest.mark.parametrize("metric,dist", [("planar", math.dist), ("geographic", arc)])
+def test_neighbours_against_brute_force(spark, metric, dist):
+    r = random.Random(3)
+    data = [(f"p{i:04}", r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(400)] + [(f"hot{i:04}", 10 + r.random() * 1e-3, 50.0) for i in range(300)] + [("pole", 0.0, 90.0), ("tie1", 7.0, 7.0), ("tie0", 7.0, 7.0)]
+    asked = [(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(60)] + [(90, 10.0, 50.0), (91, 179.99, -89.9), (92, -179.99, 0.0), (93, 7.0, 7.0), (94, 500.0 if metric == "planar" else 0.0, 0.0)]
+    df = spark.createDataFrame([*data, ("void", None, 3.0)], P)
+    q = spark.createDataFrame([*asked, (99, 1.0, None)], "query_id int, qx double, qy double")
+    for k in (1, 5, 2000):
+        got = {}
+        for row in neighbours.nearest_join(q, df, k, metric).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.doc_id)
+        want = {i: [n for _, n in sorted((dist((px, py), (x, y)), n) for n, px, py in data)][:k] for i, x, y in asked}
+        assert {i: (len(v), sorted(v)[:3]) for i, v in got.items()} == {i: (len(v), sorted(v)[:3]) for i, v in want.items()} if k > 5 else got == want
+    assert neighbours.nearest_join(q, df, 0, metric).count() == neighbours.nearest_join(q, df.limit(0), 3, metric).count() == neighbours.nearest_join(q.limit(0), df, 3, metric).count() == 0
+    most = 20.0 if metric == "planar" else 2_000_000.0
+    got = {(x.query_id, x.doc_id) for x in neighbours.radius_join(q, df, most, metric).collect()}
+    assert got == {(i, n) for i, x, y in asked for n, px, py in data if dist((px, py), (x, y)) <= most}
+    assert neighbours.radius_join(q, df, -1, metric).count() == 0
+    assert neighbours.radius_join(q, df, F.when(F.col("query_id") == 93, 0.0).otherwise(-1), metric).count() == 2

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, linalg
-from ..operators import access, changelog, matrix, raster, replication, series, spatial, txn, validators
+from ..operators import access, changelog, matrix, neighbours, raster, replication, series, spatial, txn, validators
 from ..sources import shared
 from ..streaming import subscriptions
 
@@ -224,10 +224,30 @@ def zone_join(spark, d):
 @query(f"""WITH {PLACES}, {ZONES} SELECT zone, doc_id, CAST(r AS BIGINT) AS rank FROM (SELECT zone, doc_id,
   row_number() OVER (PARTITION BY zone ORDER BY sqrt(pow(lon - cx, 2) + pow(lat - cy, 2)), doc_id) AS r FROM places, zones) WHERE r <= 5""")
 def knn_join(spark, d):
-    got = spatial.nearest_join(zones(spark, d).select("zone", "cx", "cy"), places(spark, d), 5, query_key="zone", x="cx", y="cy")
+    got = neighbours.nearest_join(zones(spark, d).select("zone", "cx", "cy"), places(spark, d), 5, query_key="zone", x="cx", y="cy")
     return got.select("zone", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+_ARC = _hav("a.lon", "a.lat", "b.lon", "b.lat")
+
+
+@query(f"""WITH {PLACES} SELECT query_id, doc_id, CAST(r AS BIGINT) AS rank, round(d, 3) AS distance FROM (SELECT a.doc_id AS query_id, b.doc_id, {_ARC} AS d,
+  row_number() OVER (PARTITION BY a.doc_id ORDER BY {_ARC}, b.doc_id) AS r FROM places a, places b) WHERE r <= 4""")
+def knn_self_join(spark, d):
+    """The four nearest of every place by great circle, itself included."""
+    p = places(spark, d)
+    got = neighbours.nearest_join(p.select(F.col("doc_id").alias("query_id"), F.col("lon").alias("qx"), F.col("lat").alias("qy")), p, 4, "geographic")
+    return got.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 3).alias("distance"))
+
+
+@query(f"WITH {PLACES} SELECT a.doc_id AS query_id, b.doc_id, round({_ARC}, 3) AS distance FROM places a, places b WHERE {_ARC} <= 300000")
+def radius_self_join(spark, d):
+    """All places within 300 km of every place."""
+    p = places(spark, d)
+    got = neighbours.radius_join(p.select(F.col("doc_id").alias("query_id"), F.col("lon").alias("qx"), F.col("lat").alias("qy")), p, 300_000)
+    return got.select("query_id", "doc_id", F.round("distance", 3).alias("distance"))
+
+
 @query(f"WITH {ZONES} SELECT round(min(cx - h), 6) AS min_x, round(min(cy - h), 6) AS min_y, round(max(cx + h), 6) AS max_x, round(max(cy + h), 6) AS max_y, round((max(cx + h) - min(cx - h)) * (max(cy + h) - min(cy - h)), 3) AS area FROM zones")
 def bbox_union_area(spark, d):
     u = spatial.union_box(zones(spark, d))
