@@ -41,6 +41,7 @@ def test_transactions(spark):
     t = txn.Txn(spark)
     t.read(state, "items", "i1")
     t.read(state, "items", "missing")
+    assert t.read_many(state, "items", ["i1", "nope"]).count() == 1 and t.reads == {("items", "i1"): 1}
     t.put("items", "i1", {"n": 1})
     t.put("items", "i1", {"n": 2})
     t.delete("items", "i2")
@@ -73,6 +74,10 @@ def test_export(spark):
     cursors = spark.createDataFrame([], "peer string, cursor long")
     assert replication.gc_log(log, cursors).count() == 4 and replication.get_cursor(cursors, "a") == 0
     cursors = replication.set_cursor(replication.set_cursor(cursors, "a", 2), "b", 3)
+    at = f"{shared.fresh_folder(spark, 'cursors')}/c.json"
+    assert replication.load_cursors(spark, at).count() == 0
+    replication.save_cursors(cursors, at)
+    cursors = replication.load_cursors(spark, at)
     assert replication.gc_log(log, cursors).count() == 2
     assert replication.gc_log(log, replication.set_cursor(cursors, "a", 0)).count() == 4
 
@@ -146,6 +151,9 @@ def test_database(spark):
     assert db.paths().count() == 5
     db.drop_path("geo", "geo", "byLoc")
     assert ids(db.find_in_box("geo", "byLoc", -180, -90, 180, 90)) == []
+    kept = db.cache("users")
+    assert kept.count() == 3 and db.cache_stats().count() >= 1
+    kept.unpersist()
     db.compact()
     assert sorted(ids(db.all("users"))) == ["1", "3", "4"] and db.get("users", "4").first().vip
     db.put("users", "5", name="Zed", age=1)

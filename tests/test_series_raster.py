@@ -129,6 +129,17 @@ def test_samples_and_documents(spark):
         raster.value_at(pts, raster.mesh(spark, g), g, 3)
 
 
+def test_chunks_of_tiles(spark):
+    g = raster.Grid(0, 0, 4, 4, 4, 4, tile_size=2, chunk_size=3)
+    order = [0, 1, 2, 3, 1, 2, 5]  # goes back once
+    frames = [(t, r, c, 0, 1.0, i) for i, t in enumerate(order) for r in range(4) for c in range(4)]
+    df = spark.createDataFrame(frames, "ts_ms long, row int, col int, channel int, value double, append_seq long")
+    assert [tuple(r) for r in raster.chunk_counts(df, g).orderBy("tile_r", "tile_c").collect()] == [(r, c, 3, 0) for r in range(2) for c in range(2)]
+    assert raster.chunk_counts(df.filter("append_seq < 5"), g).filter("chunks = 2 and active = 1").count() == 4
+    ts, cells = [100 * i for i in range(200)], [[math.sin(0.1 * i + c) for i in range(200)] for c in range(4)]
+    assert codec.decode_tile(codec.encode_tile(ts, cells)) == (ts, cells) and codec.decode_tile(codec.encode_tile([], [])) == ([], [])
+
+
 def test_stack_on_disk(spark):
     root = shared.fresh_folder(spark, "stack")
     g = raster.Grid(0, 0, 8, 8, 4, 6, 2, ("a", "b"), tile_size=4)

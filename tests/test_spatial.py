@@ -58,6 +58,14 @@ def test_box_of_a_radius_is_narrower_than_the_circle(spark):
     assert ids(spatial.find_within_radius(df, 179.9, 0, 100_000, exact=True)) == ["w"]
 
 
+def test_stored_places_prune_by_box(spark, places, tmp_path):
+    spatial.write_places(places.filter("lon is not null"), str(tmp_path / "p"), files=3)
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert ids(spatial.find_in_box(stored, -10, 40, 10, 60)) == ["lon"]
+    assert "GreaterThanOrEqual(lon" in spatial.find_in_box(stored, -10, 40, 10, 60)._jdf.queryExecution().executedPlan().toString()
+    assert tuple(one(spark, geo.point(1, 2))) == (1, 2)
+
+
 def test_expressions(spark):
     assert 110_000 < one(spark, geo.haversine(0, 0, 0, 1)) < 112_000
     b = geo.box(0, 0, 1, 1)

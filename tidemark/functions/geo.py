@@ -17,6 +17,10 @@ def _c(x: Number) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def point(x: Number, y: Number) -> Column:
+    return F.struct(_c(x).alias("x"), _c(y).alias("y"))
+
+
 # -- boxes: STRUCT<min_x, min_y, max_x, max_y>, empty if a minimum is above its maximum ------------------------------
 def box(min_x: Number, min_y: Number, max_x: Number, max_y: Number) -> Column:
     return F.struct(_c(min_x).alias("min_x"), _c(min_y).alias("min_y"), _c(max_x).alias("max_x"), _c(max_y).alias("max_y"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import shared
+from . import series
 
 
 @dataclass(frozen=True)
@@ -195,6 +196,25 @@ def point_history(frames: DataFrame, grid: Grid, x: float, y: float, low: int, h
     return used.orderBy("ts_ms", "append_seq").select("ts_ms", "value")
 
 
+def with_chunks(frames: DataFrame, grid: Grid) -> DataFrame:
+    """``frames`` by tile, with ``seg`` and ``part`` that name the chunk of a frame within its tile: a time before the last
+    one starts a new segment, and a segment is cut every ``chunk_size`` frames."""
+    tiled = with_tiles(frames, grid)
+    tile = F.concat_ws(",", "tile_r", "tile_c")
+    once = tiled.groupBy("tile_r", "tile_c", "ts_ms", "append_seq").agg(F.lit(0.0).alias("value")).withColumn("series_id", tile)
+    named = series.with_blocks(once, grid.chunk_size).select("tile_r", "tile_c", "append_seq", "ts_ms", "seg", "part")
+    return tiled.join(named, ["tile_r", "tile_c", "append_seq", "ts_ms"])
+
+
+def chunk_counts(frames: DataFrame, grid: Grid) -> DataFrame:
+    """(tile_r, tile_c, chunks, active): full or closed chunks of each tile, and the frames of its last one while it isn't full."""
+    c = F.col
+    by = with_chunks(frames, grid).groupBy("tile_r", "tile_c", "seg", "part").agg(F.countDistinct("append_seq", "ts_ms").alias("n"))
+    last = by.groupBy("tile_r", "tile_c").agg(F.max_by("n", F.struct("seg", "part")).alias("n"), F.count(F.lit(1)).alias("all"))
+    open_ = c("n") < grid.chunk_size
+    return last.select("tile_r", "tile_c", F.when(open_, c("all") - 1).otherwise(c("all")).alias("chunks"), F.when(open_, c("n")).otherwise(F.lit(0)).cast("long").alias("active"))
+
+
 def latest_ts(frames: DataFrame) -> DataFrame:
     """One row (ts_ms), over all tiles; null without frames."""
     return frames.agg(F.max("ts_ms").alias("ts_ms"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import hlc_order
 from ..plans.skew import carried, col
+from ..sources import shared
 from ..streaming.capture import latest_by
 
 KEYS = ["collection", "doc_id"]
@@ -81,6 +84,17 @@ def get_cursor(cursors: DataFrame, peer: str) -> int:
     return row[0] or 0
 
 
+def save_cursors(cursors: DataFrame, path: str) -> None:
+    """One small file, there whole or not at all; peers are few."""
+    shared.write_text(cursors.sparkSession, path, json.dumps(dict(cursors.groupBy("peer").agg(F.max("cursor")).collect())))
+
+
+def load_cursors(spark: SparkSession, path: str) -> DataFrame:
+    """(peer, cursor); no rows before the first save."""
+    got = json.loads(shared.read_text(spark, path)) if shared.exists(spark, path) else {}
+    return spark.createDataFrame(list(got.items()), "peer string, cursor long")
+
+
 def tick(rows: DataFrame, now: str, order: str, node: str) -> DataFrame:
     """``rows`` with ``hlc`` as one node's clock gives it: the wall is the greatest time so far, the counter the number of
     changes since the wall last grew, less one.

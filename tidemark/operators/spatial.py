@@ -71,6 +71,14 @@ def find_within_radius(df: DataFrame, x: float, y: float, meters: float, limit:
     return _limited(found, limit, col(out), col(key))
 
 
+def write_places(df: DataFrame, path: str, cell: float = 1.0, files: int | None = None, lon: str = "lon", lat: str = "lat", mode: str = "overwrite") -> None:
+    """Store places so that boxes prune files and row groups: by ranges of grid cells, and in their order within a file."""
+    cx, cy = fresh(df, "cx", "cy")
+    placed = df.withColumns({cx: _cell(col(lon), cell), cy: _cell(col(lat), cell)})
+    placed = placed.repartitionByRange(files, cx, cy) if files else placed.repartitionByRange(cx, cy)
+    placed.sortWithinPartitions(cx, cy).drop(cx, cy).write.mode(mode).parquet(path)
+
+
 # -- polygons ----------------------------------------------------------------------------------------------------------
 def with_polygons(df: DataFrame, shape: str = "shape", polygon: str = "polygon", box: str = "box") -> DataFrame:
     """Documents whose ``shape`` (ARRAY<ARRAY<DOUBLE>>) is a polygon, with it and its box; the others are left out."""

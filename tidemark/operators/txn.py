@@ -33,6 +33,13 @@ class Txn:
             self.reads.setdefault((collection, doc_id), r.version)
         return found
 
+    def read_many(self, state: DataFrame, collection: str, doc_ids: list[str]) -> DataFrame:
+        """The documents of a list, each recorded as read if it was found."""
+        found = state.filter((F.col("collection") == collection) & F.col("doc_id").isin(doc_ids))
+        for r in found.select("doc_id", "version").collect():  # no more than listed
+            self.reads.setdefault((collection, r.doc_id), r.version)
+        return found
+
     def put(self, collection: str, doc_id: str, value: object) -> None:
         self.writes[collection, doc_id] = ("put", json.dumps(value))
 

@@ -130,6 +130,21 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("series_id", "seg", "part", "payload").mapInPandas(each, f"series_id {kind}, seg long, part long, pos long, ts_ms long, value double")
 
 
+def encode_tile(ts: list[int], cells: list[list[float]]) -> bytes:
+    """A chunk of a tile: the frames' times once, then the values of each cell through the frames."""
+    parts = [encode_block(ts, [0.0] * len(ts)), *(encode_block(range(len(v)), v) for v in cells)]
+    return struct.pack(">I", len(parts)) + b"".join(struct.pack(">I", len(p)) + p for p in parts)
+
+
+def decode_tile(data: bytes) -> tuple[list[int], list[list[float]]]:
+    n, at, parts = struct.unpack(">I", data[:4])[0], 4, []
+    for _ in range(n):
+        size = struct.unpack(">I", data[at : at + 4])[0]
+        parts.append(decode_block(data[at + 4 : at + 4 + size]))
+        at += 4 + size
+    return parts[0][0], [v for _, v in parts[1:]]
+
+
 # -- tagged values -------------------------------------------------------------------------------------------------------
 def _varint(n: int) -> bytes:
     out = bytearray()

@@ -103,6 +103,16 @@ class Database:
     def get_many(self, name: str, ids: list[str], position: str | None = None) -> DataFrame:
         return access.get_many(self.all(name), ids, position=position)
 
+    def cache(self, name: str) -> DataFrame:
+        """The live documents, kept in memory and on disk by the executors until ``unpersist()``."""
+        return self.all(name).persist()
+
+    def cache_stats(self) -> DataFrame:
+        """(name, partitions, cached, memory_bytes, disk_bytes) of what is kept."""
+        got = self.spark.sparkContext._jsc.sc().getRDDStorageInfo()
+        rows = [(i.name()[:200], i.numPartitions(), i.numCachedPartitions(), i.memSize(), i.diskSize()) for i in got]
+        return self.spark.createDataFrame(rows, "name string, partitions int, cached int, memory_bytes long, disk_bytes long")
+
     def compact(self, name: str | None = None) -> None:
         """Write the state as a new snapshot with an empty log, then drop the old ones."""
         for c in [name] if name else self.collections():

@@ -42,6 +42,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return at
 
 
+def release(spark: SparkSession) -> None:
+    """Remove everything this engine wrote to the shared folder; only when no result that reads it is in use."""
+    remove(spark, f"{folder(spark)}/tidemark")
+
+
 def exists(spark: SparkSession, at: str) -> bool:
     fs, p = path(spark, at)
     return fs.exists(p)
