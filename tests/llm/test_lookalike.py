@@ -76,3 +76,20 @@ def test_large_class_of_copies_makes_only_its_pairs(spark):
     assert L.same_looking_pairs(df).count() == 2999
     assert L.same_looking_pairs(df.filter("doc_id <> 7")).count() == 0
     assert L.same_looking_pairs(df.limit(0)).count() == 0
+
+
+def test_large_batches_are_worked_on_in_parts():
+    import pyarrow as pa
+
+    from tidemark.llm import duck
+
+    b = pa.RecordBatch.from_pydict({"i": list(range(100)), "t": ["x" * (10_000 if i == 50 else 100) for i in range(100)]})
+    parts = list(duck.slices([b], 2000))
+    assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(100)) and max(p.num_rows for p in parts if p.nbytes <= 2000) > 1
+    assert [p.num_rows for p in parts if p.nbytes > 2000] == [1]
+    assert list(duck.slices([b.slice(0, 0)]))[0].num_rows == 0
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "аbc " * 500_000), (2, "abc " * 500_000), (3, "x")], "doc_id long, text string")
+    assert [tuple(r) for r in L.same_looking_pairs(df).collect()] == [(1, 2)]

@@ -60,3 +60,9 @@ def test_decoding_gives_the_bytes_back(spark):
 def test_other_vocabulary_folder_and_bad_sizes(spark):
     with pytest.raises(ValueError):
         T.encode(spark.createDataFrame([], "doc_id long, text string"), chunk=10, overlap=11)
+
+
+def test_very_long_text(spark):
+    text = "".join(texts(3000, 11))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert T.encode(df).first().ids == whole(text)

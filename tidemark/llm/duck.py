@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Memory DuckDB may take in a Python worker; a batch is far smaller.
-MEMORY = "300MB"
+#: Memory DuckDB may take in a Python worker; what it works on at a time is far smaller, but for a single huge text.
+MEMORY = "1GB"
+#: Bytes of a batch worked on at a time.
+SLICE = 4 << 20
+
+
+def slices(batches, limit: int = SLICE):
+    """The batches in parts of at most ``limit`` bytes, or of one row, so that texts of any length fit in memory."""
+    for b in batches:
+        todo = [b]
+        while todo:
+            x = todo.pop()
+            if x.nbytes <= limit or x.num_rows < 2:
+                yield x
+            else:
+                half = x.num_rows // 2
+                todo += [x.slice(half), x.slice(0, half)]
 
 
 def connect():
@@ -32,7 +47,7 @@ def in_duckdb(df: DataFrame, sql: str, schema: T.StructType | str) -> DataFrame:
 
     def each(batches):
         con = connect()
-        for b in batches:
+        for b in slices(batches):
             yield from run(con, b, sql).to_batches()
 
     return df.mapInArrow(each, schema)

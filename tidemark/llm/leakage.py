@@ -115,7 +115,7 @@ def _gather(items: DataFrame) -> Items:
 
     def each(batches):
         con = duck.connect()
-        for b in batches:
+        for b in duck.slices(batches):
             yield from duck.run(con, b, f"SELECT id, {words_sql('t')} AS words FROM batch").to_batches()
 
     got = items.mapInArrow(each, "id long, words array<long>").collect()
@@ -135,7 +135,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def each(batches):
         con, held = duck.connect(), sent.value
-        for b in batches:
+        for b in duck.slices(batches):
             p = held.leaks(*word_lists(con, b, "t"))
             yield _pairs(b.column(0).to_numpy(zero_copy_only=False)[p[:, 0]], held.ids[p[:, 1]], ("doc_id", "item_id"))
 
@@ -148,7 +148,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, salts: int = 8) -> DataFrame:
 
     def prints(batches):
         con = duck.connect()
-        for b in batches:
+        for b in duck.slices(batches):
             words, offsets = word_lists(con, b, "t")
             pos, h = fingerprints(words, offsets)
             row = np.searchsorted(offsets, pos, side="right") - 1
@@ -159,7 +159,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, salts: int = 8) -> DataFrame:
         import pyarrow as pa
 
         con = duck.connect()
-        for b in batches:
+        for b in duck.slices(batches):
             words, offsets = word_lists(con, b, "t")
             theirs, bounds = word_lists(con, b, "u")
             ok = []

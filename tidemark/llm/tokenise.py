@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import col
 from ..sources.shared import written
+from .duck import slices
 
 #: Where the vocabulary files are; a parameter of every function here.
 FOLDER = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -86,7 +87,7 @@ def _whole(path: str):
         import pyarrow as pa
 
         e = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [e.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -98,7 +99,7 @@ def _chunks(chunk: int, overlap: int, path: str):
         import pyarrow as pa
 
         ints = pa.list_(pa.int32())
-        for b in batches:
+        for b in slices(batches):
             k, most, text = (b.column(i).to_pylist() for i in (2, 3, 4))
             got = [encode_chunk(t, i == 0, i == m - 1, chunk, overlap, path) for i, m, t in zip(k, most, text)]
             cols = [pa.array([g[j] for g in got], kind) for j, kind in enumerate((ints, pa.int32(), ints, ints))]
@@ -154,7 +155,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", folder: str = FO
         import pyarrow as pa
 
         back = {v: k for k, v in ranks(path).items()}
-        for b in batches:
+        for b in slices(batches):
             text = [None if x is None else b"".join([back[i] for i in x]) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], [*b.schema.names, out])
 
