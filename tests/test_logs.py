@@ -117,7 +117,8 @@ def test_two_sides_converge(spark):
 
 def test_clocks(spark):
     df = spark.createDataFrame([(1, 10), (2, 12), (3, 11), (4, 12), (5, 20)], "o int, now long")
-    assert [tuple(r.hlc) for r in replication.tick(df, "now", "o", "n").orderBy("o").collect()] == [(10, 0, "n"), (12, 0, "n"), (12, 1, "n"), (12, 2, "n"), (20, 0, "n")]
+    for chunk in (2, 1000):
+        assert [tuple(r.hlc) for r in replication.tick(df, "now", "o", "n", chunk).orderBy("o").collect()] == [(10, 0, "n"), (12, 0, "n"), (12, 1, "n"), (12, 2, "n"), (20, 0, "n")]
     h = "struct<wall:long,counter:long,node:string>"
     pair = spark.createDataFrame([((1, 2, "a"), (1, 2, "b")), (None, (0, 0, "a")), ((3, 0, "a"), None)], f"a {h}, b {h}")
     assert [tuple(r[0]) for r in pair.select(replication.merge_clocks(F.col("a"), F.col("b"))).collect()] == [(1, 2, "b"), (0, 0, "a"), (3, 0, "a")]

@@ -109,8 +109,7 @@ def _join(queries: DataFrame, points: DataFrame, metric: str, k: int, reach: Col
     for c in (out, "rank"):
         if c in queries.columns or c in points.columns:
             raise ValueError(f"there is a column {c} already")
-    both = queries.limit(0).join(points.limit(0), F.lit(True))
-    cell, salt, at, r, cells, part = fresh(both, "cell", "salt", "at", "r", "cells", "part")
+    cell, salt, at, r, cells, part, parts = fresh([queries, points], "cell", "salt", "at", "r", "cells", "part", "parts")
     points = points.filter(col(p[0]).isNotNull() & col(p[1]).isNotNull())
     queries = queries.filter(col(q[0]).isNotNull() & col(q[1]).isNotNull())
     grid, number = _grid(points, _coordinates(metric, col(p[0]), col(p[1])), metric)
@@ -142,7 +141,6 @@ def _join(queries: DataFrame, points: DataFrame, metric: str, k: int, reach: Col
     split = [(int(c), int(n)) for c, n in enumerate(grid.salts.ravel()) if n > 1]  # 1 / SHARE rows at most
     placed = points.withColumn(cell, number)
     if split:
-        (parts,) = fresh(both.withColumn(cell, F.lit(0)), "parts")
         hot = points.sparkSession.createDataFrame(split, f"`{cell}` long, `{parts}` int")
         placed = placed.join(F.broadcast(hot), cell, "left").withColumn(salt, F.pmod(F.xxhash64(col(key)), F.coalesce(col(parts), F.lit(1))).cast("int")).drop(parts)
     else:
@@ -177,7 +175,7 @@ def radius_join(
 ) -> DataFrame:
     """Each pair of a query and a point at most ``within`` (degrees or metres, a number or a column of the queries) apart."""
     most = within if isinstance(within, Column) else F.lit(float(within))
-    (name,) = fresh(queries.limit(0).join(points.limit(0), F.lit(True)), "most")
+    (name,) = fresh([queries, points], "most")
     arc = F.least(F.greatest(col(name), F.lit(0.0)) / (2 * geo.EARTH_RADIUS_M), F.lit(np.pi / 2).cast("double"))
     reach = F.when(col(name) < 0, -1.0).otherwise(col(name) if metric == "planar" else 2 * F.sin(arc))
     near = _join(queries.withColumn(name, most), points, metric, 0, reach, (x, y), (lon, lat), key, out)

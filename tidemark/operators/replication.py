@@ -95,17 +95,18 @@ def load_cursors(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(got.items()), "peer string, cursor long")
 
 
-def tick(rows: DataFrame, now: str, order: str, node: str) -> DataFrame:
+def tick(rows: DataFrame, now: str, order: str, node: str, chunk: int = CHUNK) -> DataFrame:
     """``rows`` with ``hlc`` as one node's clock gives it: the wall is the greatest time so far, the counter the number of
-    changes since the wall last grew, less one.
-
-    The order of one node's own changes is one sequence by nature; feed it one node's batch at a time.
-    """
+    changes since the wall last grew, less one. ``order`` is a whole number, unique; rows are worked on by chunks of it."""
     c = F.col
-    sofar = Window.partitionBy(F.lit(0)).orderBy(col(order))
-    rows = rows.withColumn("_wall", F.max(col(now)).over(sofar.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_wall").orderBy(col(order))) - 1)
-    return rows.withColumn("hlc", F.struct(c("_wall").cast("long").alias("wall"), c("_n").cast("long").alias("counter"), F.lit(node).alias("node"))).drop("_wall", "_n")
+    rows = rows.withColumn("_chunk", F.floor(col(order) / chunk))
+    rows = carried(rows, [], "_chunk", F.max(col(now)), "_top", "max")
+    here = Window.partitionBy("_chunk").orderBy(col(order))
+    rows = rows.withColumn("_wall", F.greatest(F.max(col(now)).over(here.rowsBetween(Window.unboundedPreceding, 0)), c("_top")))
+    rows = carried(rows, ["_wall"], "_chunk", F.count(F.lit(1)), "_earlier", "sum")
+    n = F.row_number().over(Window.partitionBy("_wall", "_chunk").orderBy(col(order))) - 1 + F.coalesce("_earlier", F.lit(0))
+    clock = F.struct(c("_wall").cast("long").alias("wall"), n.cast("long").alias("counter"), F.lit(node).alias("node"))
+    return rows.withColumn("hlc", clock).drop("_chunk", "_top", "_wall", "_earlier")
 
 
 def merge_clocks(a: Column, b: Column) -> Column:

@@ -120,7 +120,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 5.0
     cell, the exact test follows, and no pair comes twice. Polygons of a checked small size are broadcast. ``cell`` should be
     near the usual extent of a polygon. A cell crowded with points is split by adaptive execution.
     """
-    cx, cy = fresh(points.limit(0).join(polygons.limit(0), F.lit(True)), "cx", "cy")
+    cx, cy = fresh([points, polygons], "cx", "cy")
     b = col(box)
     spread = polygons.filter(~geo.box_empty(b)).withColumn(cx, F.explode(F.sequence(_cell(b["min_x"], cell), _cell(b["max_x"], cell))))
     spread = spread.withColumn(cy, F.explode(F.sequence(_cell(b["min_y"], cell), _cell(b["max_y"], cell))))

@@ -12,9 +12,9 @@ BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
 
-def fresh(df: DataFrame, *bases: str) -> list[str]:
-    """Column names that ``df`` doesn't have, in any letter case."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame | list[DataFrame], *bases: str) -> list[str]:
+    """Column names that ``df``, or none of a list of them, has, in any letter case."""
+    taken = {c.lower() for d in (df if isinstance(df, list) else [df]) for c in d.columns}
     out = []
     for b in bases:
         name, n = f"_{b}", 0
@@ -59,7 +59,7 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
     """
     if fits(small, limit):
         return big.join(F.broadcast(small), on, how)
-    (salt,) = fresh(big.join(small, on).limit(0), "salt")
+    (salt,) = fresh([big, small], "salt")
     left = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*on, salt], how).drop(salt)
