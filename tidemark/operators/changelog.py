@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import carried, col
+from ..plans.skew import carry, col, in_chunks
 from ..sources import shared
 from ..streaming.capture import latest_by
 
@@ -64,20 +64,18 @@ def with_versions(log: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) ->
     seq, with the puts since the last delete carried over.
     """
     c = F.col
-    rows = log.withColumns({"_chunk": F.floor(c("seq") / chunk), "_del": (c("op") == "delete").cast("int")})
-    here = Window.partitionBy(*[col(k) for k in keys], "_chunk").orderBy("seq")
-    rows = rows.withColumn("_epoch", F.sum("_del").over(here) - c("_del"))
-    inside = Window.partitionBy(*[col(k) for k in keys], "_chunk", "_epoch").orderBy("seq")
-    rows = rows.withColumn("_puts", F.sum(1 - c("_del")).over(inside) - (1 - c("_del")))
-    ks = [f"_k{i}" for i in range(len(keys))]
-    s = rows.groupBy(*[col(k).alias(a) for k, a in zip(keys, ks)], c("_chunk").alias("_c")).agg(F.max("_del").alias("d"), F.max_by(F.when(c("_del") == 1, 0).otherwise(c("_puts") + 1), "seq").alias("tail"))
-    order = Window.partitionBy(*ks).orderBy("_c")
-    s = s.withColumn("g", F.sum("d").over(order)).withColumn("t", F.sum("tail").over(Window.partitionBy(*ks, "g").orderBy("_c")))
+    rows, key, chunk_ = in_chunks(log, keys, "seq", chunk)
+    rows = rows.withColumn("_del", (c("op") == "delete").cast("int"))
+    rows = rows.withColumn("_epoch", F.sum("_del").over(Window.partitionBy(key, chunk_).orderBy("seq")) - c("_del"))
+    rows = rows.withColumn("_puts", F.sum(1 - c("_del")).over(Window.partitionBy(key, chunk_, "_epoch").orderBy("seq")) - (1 - c("_del")))
+    # Of each chunk: whether it has a delete, and the puts since its last.
+    s = rows.groupBy(key, chunk_).agg(F.max("_del").alias("d"), F.max_by(F.when(c("_del") == 1, 0).otherwise(c("_puts") + 1), "seq").alias("tail"))
+    order = Window.partitionBy(key).orderBy(chunk_)
+    s = s.withColumn("g", F.sum("d").over(order)).withColumn("t", F.sum("tail").over(Window.partitionBy(key, "g").orderBy(chunk_)))
     s = s.withColumn("_carry", F.coalesce(F.lag("t").over(order), F.lit(0))).drop("d", "tail", "g", "t")
-    on = [col(k).eqNullSafe(c(a)) for k, a in zip(keys, ks)] + [c("_chunk") == c("_c")]
     before = c("_puts") + F.when(c("_epoch") == 0, c("_carry")).otherwise(0)
-    rows = rows.join(s, on).withColumn("version", (before + 1).cast("long")).filter((c("_del") == 0) | (before > 0))
-    return rows.drop("_chunk", "_del", "_epoch", "_puts", "_carry", "_c", *ks)
+    rows = carry(rows, s, key, chunk_).withColumn("version", (before + 1).cast("long")).filter((c("_del") == 0) | (before > 0))
+    return rows.drop(key, chunk_, "_del", "_epoch", "_puts", "_carry")
 
 
 def overlay(snapshot: DataFrame, log: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import hlc_order
-from ..plans.skew import carried, col
+from ..plans.skew import carried, col, in_chunks
 from ..sources import shared
 from ..streaming.capture import latest_by
 
@@ -31,10 +31,6 @@ def export_cursor(log: DataFrame, since: int = 0, **filters) -> DataFrame:
     return export_changes(log, since, **filters).agg(F.coalesce(F.max("seq"), F.lit(since)).cast("long").alias("cursor"))
 
 
-def _clock(c: Column) -> Column:
-    return hlc_order(c)
-
-
 def trace(local: DataFrame, incoming: DataFrame, pos: str = "batch_pos", chunk: int = CHUNK) -> DataFrame:
     """``incoming`` with ``accepted``: what applying the changes one by one in the order of ``pos`` would accept.
 
@@ -44,18 +40,17 @@ def trace(local: DataFrame, incoming: DataFrame, pos: str = "batch_pos", chunk:
     c = F.col
     start = local.select(*KEYS, "change_id", "hlc").withColumns({pos: F.lit(-1).cast("long"), "_new": F.lit(False)})
     rows = incoming.withColumn("_new", F.lit(True)).unionByName(start, allowMissingColumns=True)
-    rows = rows.withColumns({"_chunk": F.floor(col(pos) / chunk), "_h": _clock(c("hlc"))})
-    here = Window.partitionBy(*KEYS, "_chunk").orderBy(col(pos))
-    rows = carried(rows, KEYS, "_chunk", F.max("_h"), "_before", "max")
-    inside = F.max("_h").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    rows, key, chunk_ = in_chunks(rows.withColumn("_h", hlc_order(c("hlc"))), KEYS, pos, chunk)
+    earlier = Window.partitionBy(key, chunk_).orderBy(col(pos)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = carried(rows, key, chunk_, F.max("_h"), "_before", "max")
+    inside = F.max("_h").over(earlier)
     rows = rows.withColumn("_top", F.when(inside.isNull(), c("_before")).when(c("_before").isNull() | (inside > c("_before")), inside).otherwise(c("_before")))
-    rows = rows.filter(c("_top").isNull() | (c("_h") >= c("_top")) | c("_new")).withColumn("_cand", c("_top").isNull() | (c("_h") >= c("_top")))
-    cid = F.when(c("_cand"), F.struct(F.col("change_id").alias("id")))
-    rows = rows.withColumn("_cid", cid)
-    rows = carried(rows, KEYS, "_chunk", F.max_by("_cid", F.when(c("_cand"), col(pos))), "_last")
-    last = F.coalesce(F.last("_cid", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)), c("_last"))
+    rows = rows.withColumn("_cand", c("_top").isNull() | (c("_h") >= c("_top")))
+    rows = rows.withColumn("_cid", F.when(c("_cand"), F.struct(c("change_id").alias("id"))))
+    rows = carried(rows, key, chunk_, F.max_by("_cid", F.when(c("_cand"), col(pos))), "_last")
+    last = F.coalesce(F.last("_cid", ignorenulls=True).over(earlier), c("_last"))
     rows = rows.withColumn("accepted", c("_cand") & (last.isNull() | ~c("_cid").eqNullSafe(last)))
-    return rows.filter("_new").drop("_new", "_chunk", "_h", "_before", "_top", "_cand", "_cid", "_last")
+    return rows.filter("_new").drop("_new", key, chunk_, "_h", "_before", "_top", "_cand", "_cid", "_last")
 
 
 def apply_changes(local: DataFrame, incoming: DataFrame, pos: str = "batch_pos") -> DataFrame:
@@ -65,7 +60,7 @@ def apply_changes(local: DataFrame, incoming: DataFrame, pos: str = "batch_pos")
     that arrive later find them. Applying the same changes again changes nothing.
     """
     both = incoming.unionByName(local.withColumn(pos, F.lit(-1).cast("long")), allowMissingColumns=True)
-    return latest_by(both, KEYS, [_clock(F.col("hlc")), col(pos)])
+    return latest_by(both, KEYS, [hlc_order(F.col("hlc")), col(pos)])
 
 
 def gc_log(log: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -99,14 +94,15 @@ def tick(rows: DataFrame, now: str, order: str, node: str, chunk: int = CHUNK) -
     """``rows`` with ``hlc`` as one node's clock gives it: the wall is the greatest time so far, the counter the number of
     changes since the wall last grew, less one. ``order`` is a whole number, unique; rows are worked on by chunks of it."""
     c = F.col
-    rows = rows.withColumn("_chunk", F.floor(col(order) / chunk))
-    rows = carried(rows, [], "_chunk", F.max(col(now)), "_top", "max")
-    here = Window.partitionBy("_chunk").orderBy(col(order))
-    rows = rows.withColumn("_wall", F.greatest(F.max(col(now)).over(here.rowsBetween(Window.unboundedPreceding, 0)), c("_top")))
-    rows = carried(rows, ["_wall"], "_chunk", F.count(F.lit(1)), "_earlier", "sum")
-    n = F.row_number().over(Window.partitionBy("_wall", "_chunk").orderBy(col(order))) - 1 + F.coalesce("_earlier", F.lit(0))
+    rows, key, chunk_ = in_chunks(rows, [], order, chunk)
+    rows = carried(rows, key, chunk_, F.max(col(now)), "_top", "max")
+    here = Window.partitionBy(key, chunk_).orderBy(col(order)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_wall", F.greatest(F.max(col(now)).over(here), c("_top")))
+    rows = rows.withColumn("_same", F.struct("_wall"))
+    rows = carried(rows, "_same", chunk_, F.count(F.lit(1)), "_earlier", "sum")
+    n = F.row_number().over(Window.partitionBy("_same", chunk_).orderBy(col(order))) - 1 + F.coalesce("_earlier", F.lit(0))
     clock = F.struct(c("_wall").cast("long").alias("wall"), n.cast("long").alias("counter"), F.lit(node).alias("node"))
-    return rows.withColumn("hlc", clock).drop("_chunk", "_top", "_wall", "_earlier")
+    return rows.withColumn("hlc", clock).drop(key, chunk_, "_top", "_wall", "_same", "_earlier")
 
 
 def merge_clocks(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import carried
+from ..plans.skew import carried, carry, in_chunks
 
 #: Samples of a block, and the span of append_seq in which ordered work is done at a time.
 BLOCK, CHUNK = 4096, 1 << 16
@@ -61,26 +61,22 @@ def with_blocks(df: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFr
     Long series are worked on chunk by chunk of append_seq, with the segment and its length carried over.
     """
     c = F.col
-    here = Window.partitionBy("series_id", "chunk").orderBy("append_seq")
-    rows = df.withColumn("chunk", F.floor(c("append_seq") / chunk))
-    rows = carried(rows, KEY, "chunk", F.max_by("ts_ms", "append_seq"), "_prev_ts")
+    rows, key, chunk_ = in_chunks(df, KEY, "append_seq", chunk)
+    here = Window.partitionBy(key, chunk_).orderBy("append_seq")
+    rows = carried(rows, key, chunk_, F.max_by("ts_ms", "append_seq"), "_prev_ts")
     prev = F.coalesce(F.lag("ts_ms").over(here), c("_prev_ts"))
-    rows = rows.withColumn("_back", F.coalesce((c("ts_ms") < prev).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_seg", F.sum("_back").over(here))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("series_id", "chunk", "_seg").orderBy("append_seq")))
-    rows = carried(rows, KEY, "chunk", F.sum("_back"), "_segs", "sum")
-    # Samples of the segment that is open when the chunk begins: those since the last break.
-    tail = F.struct(F.max("_seg").alias("breaks"), F.max_by("_at", "append_seq").alias("n"))
-    s = rows.groupBy("series_id", "chunk").agg(tail.alias("s")).select("series_id", "chunk", "s.*")
-    order = Window.partitionBy("series_id").orderBy("chunk")
-    s = s.withColumn("g", F.sum((c("breaks") > 0).cast("int")).over(order))
-    s = s.withColumn("open", F.sum("n").over(Window.partitionBy("series_id", "g").orderBy("chunk")))
-    s = s.withColumn("_open", F.coalesce(F.lag("open").over(order), F.lit(0)))
-    s = s.select(c("series_id").alias("_sid"), c("chunk").alias("_chunk"), "_open")
-    rows = rows.join(s, c("series_id").eqNullSafe(c("_sid")) & (c("chunk") == c("_chunk")))
+    rows = rows.withColumn("_back", F.coalesce((c("ts_ms") < prev).cast("int"), F.lit(0))).withColumn("_seg", F.sum("_back").over(here))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, chunk_, "_seg").orderBy("append_seq")))
+    # Of each chunk: its breaks, and the samples since the last of them, which are in the segment that stays open.
+    s = rows.groupBy(key, chunk_).agg(F.max("_seg").alias("breaks"), F.max_by("_at", "append_seq").alias("n"))
+    order = Window.partitionBy(key).orderBy(chunk_)
+    s = s.withColumns({"_segs": F.coalesce(F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "g": F.sum((c("breaks") > 0).cast("int")).over(order)})
+    s = s.withColumn("open", F.sum("n").over(Window.partitionBy(key, "g").orderBy(chunk_)))
+    s = s.withColumn("_open", F.coalesce(F.lag("open").over(order), F.lit(0))).drop("breaks", "n", "g", "open")
+    rows = carry(rows, s, key, chunk_)
     at = c("_at") + F.when(c("_seg") == 0, c("_open")).otherwise(0)
-    rows = rows.withColumns({"seg": c("_seg") + F.coalesce("_segs", F.lit(0)), "part": F.floor((at - 1) / block)})
-    return rows.drop("chunk", "_prev_ts", "_back", "_seg", "_at", "_segs", "_sid", "_chunk", "_open")
+    rows = rows.withColumns({"seg": c("_seg") + c("_segs"), "part": F.floor((at - 1) / block)})
+    return rows.drop(key, chunk_, "_prev_ts", "_back", "_seg", "_at", "_segs", "_open")
 
 
 def block_stats(df: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,18 +65,30 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
     return left.join(right, [*on, salt], how).drop(salt)
 
 
-def carried(rows: DataFrame, keys: list[str], chunk: str, summary: Column, out: str, how: str = "last") -> DataFrame:
-    """``rows`` with ``out``: what the chunks of the same keys before this one add up to ('last', 'max' or 'sum').
+def in_chunks(df: DataFrame, keys: list[str], order: str, size: int) -> tuple[DataFrame, str, str]:
+    """``df`` with two columns, whose names come with it: the keys as one struct, in which nulls are equal, and the chunk of
+    ``size`` values of ``order`` (a whole number) that a row lies in.
 
-    Ordered work over groups of any size goes chunk by chunk: a window inside (keys, chunk), a ``summary`` aggregated
-    for each chunk, and this carry over the chunks, of which a group has few. Nulls in keys are equal.
+    Ordered work over groups of any size goes chunk by chunk: windows by both columns, a summary of each chunk, and
+    ``carried`` to bring what came before into a chunk. As all of it is keyed by the same two columns, rows are shuffled
+    once. Rows without an order are left out by ``carried``.
     """
-    from pyspark.sql import Window
+    key, chunk = fresh(df, "key", "chunk")
+    struct = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
+    return df.withColumns({key: struct, chunk: F.expr(f"`{order}` div {size}")}), key, chunk
 
-    s, *ks = fresh(rows, "s", *(f"k{i}" for i in range(len(keys) + 1)))
-    short = rows.groupBy(*[col(k).alias(a) for k, a in zip([*keys, chunk], ks)]).agg(summary.alias(s))
-    before = Window.partitionBy(*ks[:-1]).orderBy(ks[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+def carry(rows: DataFrame, summary: DataFrame, key: str, chunk: str) -> DataFrame:
+    """``rows`` with the columns that ``summary``, one row a chunk, has besides ``key`` and ``chunk``."""
+    k, c = fresh([rows, summary], "k", "c")
+    short = summary.withColumnsRenamed({key: k, chunk: c})
+    return rows.join(short, (col(key) == col(k)) & (col(chunk) == col(c))).drop(k, c)
+
+
+def carried(rows: DataFrame, key: str, chunk: str, summary: Column, out: str, how: str = "last") -> DataFrame:
+    """``rows`` with ``out``: what the chunks of the same key before this one add up to ('last', 'max' or 'sum')."""
+    (s,) = fresh(rows, "s")
+    before = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     f = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "sum": F.sum}[how]
-    short = short.withColumn(out, f(col(s)).over(before)).drop(s)
-    same = [col(k).eqNullSafe(col(a)) for k, a in zip([*keys, chunk], ks)]
-    return rows.join(short, same, "left").drop(*ks)
+    short = rows.groupBy(key, chunk).agg(summary.alias(s)).withColumn(out, f(col(s)).over(before)).drop(s)
+    return carry(rows, short, key, chunk)

@@ -20,7 +20,7 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"set {KEY} to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set(KEY, made)

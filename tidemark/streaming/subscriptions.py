@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.skew import carried, col
+from ..plans.skew import carried, col, in_chunks
 
 KEYS = ["collection", "doc_id"]
 CHUNK = 1 << 20
@@ -37,11 +37,10 @@ def field_changes(log: DataFrame, field: str, keys: list[str] = KEYS, chunk: int
     """
     floating = dict(log.dtypes)[field] in ("double", "float")
     put = F.col("op") == "put" if puts is None else puts
-    rows = log.withColumns({"new": F.when(put, col(field)), "_chunk": F.floor(F.col("seq") / chunk)}).withColumn("_new", F.struct("new"))
-    rows = carried(rows, keys, "_chunk", F.max_by("_new", "seq"), "_carry")
-    here = Window.partitionBy(*[col(k) for k in keys], "_chunk").orderBy("seq")
-    rows = rows.withColumn("old", F.coalesce(F.lag("_new").over(here), F.col("_carry"))["new"])
-    return rows.filter(_differs(F.col("old"), F.col("new"), floating)).drop("_chunk", "_new", "_carry")
+    rows, key, chunk_ = in_chunks(log.withColumn("new", F.when(put, col(field))).withColumn("_new", F.struct("new")), keys, "seq", chunk)
+    rows = carried(rows, key, chunk_, F.max_by("_new", "seq"), "_carry")
+    rows = rows.withColumn("old", F.coalesce(F.lag("_new").over(Window.partitionBy(key, chunk_).orderBy("seq")), F.col("_carry"))["new"])
+    return rows.filter(_differs(F.col("old"), F.col("new"), floating)).drop(key, chunk_, "_new", "_carry")
 
 
 def delta(old: Column, new: Column) -> tuple[Column, Column]:
