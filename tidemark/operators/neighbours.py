@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..plans.skew import col, fresh
+from ..session import ship
 
 #: Cells a side: 65 536 cells in the plane, 262 144 in the cube, of which the sphere meets some 15 000.
 SIDES = {2: 256, 3: 64}
@@ -106,6 +107,7 @@ def _grid(points: DataFrame, coordinates: list[Column], metric: str) -> tuple[_C
 
 
 def _join(queries: DataFrame, points: DataFrame, metric: str, k: int, reach: Column | None, q: tuple[str, str], p: tuple[str, str], key: str, out: str) -> DataFrame:
+    ship(points.sparkSession)
     for c in (out, "rank"):
         if c in queries.columns or c in points.columns:
             raise ValueError(f"there is a column {c} already")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import lookup_join
+from ..session import ship
 from ..sources.shared import written
 
 FIELDS = ("min_val", "max_val")
@@ -94,6 +95,7 @@ def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataF
     robust principal components take the low-rank part away; runs are found in chunks and joined over their ends.
     Level and spread come from mergeable sketches, so no task holds more than a chunk of any series.
     """
+    ship(blocks.sparkSession)
     c = F.col
     b = blocks.filter(c("series_id").isNotNull() & c("block_seq").isNotNull()).groupBy("series_id", "block_seq").agg(*[F.max(f).alias(f) for f in FIELDS])
     b = written(b.withColumn("chunk", F.floor(c("block_seq") / chunk)), "blocks")

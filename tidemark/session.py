@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once an application. Operators that run Python call it themselves, so
+    it need not be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, Path("tidemark") / p.relative_to(home))
+    sc.addPyFile(str(at))
+    _shipped.add(sc.applicationId)
+
 
 def build(app: str = "tidemark", cores: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session in UTC with adaptive execution.
@@ -30,4 +50,5 @@ def build(app: str = "tidemark", cores: int | str = "*", partitions: int = 8, me
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark

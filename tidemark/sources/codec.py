@@ -9,6 +9,8 @@ from typing import BinaryIO
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 #: Limits on what is decoded (bytes of a text, items of an array, fields of an object).
 MAX_BYTES, MAX_ITEMS, MAX_FIELDS = 16 << 20, 1_000_000, 1_000_000
 #: The tag of each kind of value.
@@ -111,6 +113,7 @@ def encode_blocks(rows: DataFrame) -> DataFrame:
         first = pdf.iloc[0]
         return pd.DataFrame([[first["series_id"], first["seg"], first["part"], len(pdf), encode_block(map(int, pdf["ts_ms"]), pdf["value"])]], columns=["series_id", "seg", "part", "samples", "payload"])
 
+    ship(rows.sparkSession)
     kind = dict(rows.dtypes)["series_id"]
     return rows.groupBy("series_id", "seg", "part").applyInPandas(one, f"series_id {kind}, seg long, part long, samples long, payload binary")
 
@@ -126,6 +129,7 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
                 out += [(r.series_id, r.seg, r.part, i, t, v) for i, (t, v) in enumerate(zip(ts, values))]
             yield pd.DataFrame(out, columns=["series_id", "seg", "part", "pos", "ts_ms", "value"])
 
+    ship(blocks.sparkSession)
     kind = dict(blocks.dtypes)["series_id"]
     return blocks.select("series_id", "seg", "part", "payload").mapInPandas(each, f"series_id {kind}, seg long, part long, pos long, ts_ms long, value double")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.skew import carried, col, in_chunks
+from ..session import ship
 
 KEYS = ["collection", "doc_id"]
 CHUNK = 1 << 20
@@ -79,6 +80,7 @@ def _deltas_of_key(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterat
 def stream_deltas(changes: DataFrame, field: str) -> DataFrame:
     """The events of ``field_deltas`` for a text field, over a stream of changes; the last value of each document is kept
     as state. Changes of a document must arrive in the order of seq across batches; inside one they may not."""
+    ship(changes.sparkSession)
     rows = changes.select(*KEYS, "seq", F.col("version").cast("long").alias("version"), "op", col(field).cast("string").alias("value"))
     return rows.groupBy(*KEYS).applyInPandasWithState(_deltas_of_key, DELTA, "old string", "append", "NoTimeout")
 
