@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Memory DuckDB may take in a Python worker; what it works on at a time is far smaller, but for a single huge text.
 MEMORY = "1GB"
 #: Bytes of a batch worked on at a time.
@@ -50,4 +52,5 @@ def in_duckdb(df: DataFrame, sql: str, schema: T.StructType | str) -> DataFrame:
         for b in slices(batches):
             yield from run(con, b, sql).to_batches()
 
+    ship(df.sparkSession)
     return df.mapInArrow(each, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import col
+from ..session import ship
 from ..sources.shared import written
 from . import duck
 from .lookalike import caseless_table, form_sql
@@ -182,6 +183,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     between look-alikes. Rows with a null id, and null, empty and shorter texts, take part in no pair. Items of up to
     ``limit`` characters in all are sent to the tasks, so documents aren't shuffled; more are joined by shuffle.
     """
+    ship(docs.sparkSession)
     docs, items = _used(docs, doc_id, text), _used(items, item_id, passage)
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     return (_by_broadcast if chars <= limit else _by_shuffle)(docs, items).distinct()

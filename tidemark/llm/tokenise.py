@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import col
+from ..session import ship
 from ..sources.shared import written
 from .duck import slices
 
@@ -117,6 +118,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: st
     """
     if not 0 < overlap <= chunk:
         raise ValueError("overlap must lie between 1 and chunk")
+    ship(df.sparkSession)
     path = f"{folder}/{VOCABULARY}"
     rows = df.select(col(doc_id).alias("id"), col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -149,6 +151,7 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: st
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", folder: str = FOLDER) -> DataFrame:
     """``df`` with BINARY ``out``: the raw bytes of the ids, concatenated. Null for null; an id outside the vocabulary raises."""
+    ship(df.sparkSession)
     path = f"{folder}/{VOCABULARY}"
 
     def each(batches):
