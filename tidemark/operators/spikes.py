@@ -78,7 +78,7 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         low, sparse = robust_pca(z.reshape(rows, width))
         beyond = (np.abs(sparse) > FAR / 2) | (np.abs(low) > FAR / 2)
         hit[ok] |= beyond.ravel()[at[ok]]
-    return pdf.loc[hit, ["series_id", "block_seq"]]
+    return pdf.loc[hit]
 
 
 def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -111,10 +111,10 @@ def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataF
     usual = written(usual.withColumn("day", day), "usual")
 
     known = lookup_join(b, usual, ["series_id"], c("block_seq"))
-    numbers = "series_id string, block_seq long"
-    found = known.drop("least", "most", "period").groupBy("series_id", "chunk").applyInPandas(_candidates, numbers)
+    valued = known.drop("least", "most", "period")
+    found = valued.groupBy("series_id", "chunk").applyInPandas(_candidates, valued.schema)
     far = reduce(lambda x, y: x | y, [_finite(c(f)) & (c(f"spread{i}") > 0) & (F.abs(c(f) - c(f"level{i}")) > FAR * c(f"spread{i}")) for i, f in enumerate(FIELDS)])
-    spike = known.join(found, ["series_id", "block_seq"], "left_semi").filter(far)
+    spike = found.filter(far)
 
     bad = [c(f).isNotNull() & ~_finite(c(f)) for f in FIELDS]
     bad += [x for f in FIELDS for x in (c(f) < c("least"), c(f) > c("most"))]
