@@ -136,6 +136,8 @@ def _join(queries: DataFrame, points: DataFrame, metric: str, k: int, reach: Col
             pdf[r], pdf[cells] = radius, got
             yield pdf[[*names, cells]]
 
+    # Work on queries is Python's, and far more than moving them: spread over all cores, however few files they come from.
+    queries = queries.repartition(2 * queries.sparkSession.sparkContext.defaultParallelism, *map(col, q))
     schema = queries.withColumn(cells, F.lit(None).cast("array<struct<c:long,s:int>>")).schema
     asked = queries.mapInPandas(spread, schema).withColumn(part, F.explode(cells)).drop(cells)
     asked = asked.withColumns({cell: col(part)["c"], salt: col(part)["s"]}).drop(part)

@@ -89,6 +89,13 @@ def get_many(spark, d):
     return access.get_many(_t(spark, d, "customer"), [5, 3, 5, 999_999_999], "c_custkey")
 
 
+@query("SELECT o_orderkey, o_totalprice, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def get_many_bulk(spark, d):
+    """As many lookups in one job as there are line items."""
+    ids = _t(spark, d, "lineitem").selectExpr("l_orderkey as o_orderkey", "l_linenumber")
+    return access.get_many(_t(spark, d, "orders"), ids, "o_orderkey").select("o_orderkey", "o_totalprice", "l_linenumber")
+
+
 @query("SELECT c_custkey, c_name, pos FROM customer JOIN (VALUES (0, 9), (1, 2), (2, 7)) v(pos, k) ON c_custkey = k")
 def get_many_in_order(spark, d):
     return access.get_many(_t(spark, d, "customer"), [9, 2, 7], "c_custkey", "pos").select("c_custkey", "c_name", "pos").orderBy("pos")
