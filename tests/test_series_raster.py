@@ -27,6 +27,15 @@ def test_range_latest_and_ends(spark):
     assert tuple(series.stats(back).first())[1:] == (5, 1000, 4000) and series.block_stats(back).count() == 2
 
 
+def test_stored_series(spark, tmp_path):
+    at = str(tmp_path / "s")
+    series.append(made(spark, [(100 * i, i) for i in range(50)], "a"), at)
+    series.append(made(spark, [(1, 1)], "b"), at)
+    got = spark.read.parquet(at)
+    assert got.count() == 51 and series.one(got, "b").count() == 1
+    assert "EqualTo(series_id,b)" in series.one(got, "b")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_retention_keeps_whole_blocks(spark):
     df = made(spark, [(100 * i, i) for i in range(50)])
     kept = series.drop_blocks_before(df, 2500, 10)

@@ -16,8 +16,8 @@ def issues(r):
 
 
 def test_objects(spark):
-    a, b, c, d, e = parse(spark, USER, '{"name":"  Terra ","age":32,"tags":["nim","db"]}', '{"name":"Al","age":1}', '{"name":"Z","age":-1,"tags":["","ok"]}', '{"name":1,"age":"x","status":"?"}', "[1]")
-    assert a.ok and tuple(a.out) == ("Terra", 32, ["nim", "db"], False, "active")
+    a, b, c, d, e = parse(spark, USER, '{"name":"  Terra ","age":32,"tags":["a","db"]}', '{"name":"Al","age":1}', '{"name":"Z","age":-1,"tags":["","ok"]}', '{"name":1,"age":"x","status":"?"}', "[1]")
+    assert a.ok and tuple(a.out) == ("Terra", 32, ["a", "db"], False, "active")
     assert b.ok and b.out.tags is None
     assert not c.ok and c.out is None and [p for p, _ in issues(c)] == ["$.name", "$.age", "$.tags.0"]
     assert issues(d) == [("$.name", "wrong kind"), ("$.age", "wrong kind"), ("$.status", "none of the choices")]

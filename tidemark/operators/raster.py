@@ -157,10 +157,11 @@ def with_tiles(frames: DataFrame, grid: Grid) -> DataFrame:
 
 
 def append_frames(root: str, frames: DataFrame, grid: Grid) -> None:
-    """Append whole frames, stored by tile and in order of time within a file. Cells outside the grid raise."""
+    """Append whole frames, stored by tile and in order of time within a file; a tile with many frames is written by many
+    tasks. Cells outside the grid raise."""
     bad = ~(F.col("row").between(0, grid.rows - 1) & F.col("col").between(0, grid.cols - 1) & F.col("channel").between(0, grid.channels - 1))
     checked = frames.withColumn("value", F.when(bad, F.raise_error(F.lit("a cell outside the grid")).cast("double")).otherwise(F.col("value")))
-    tiled = with_tiles(checked, grid).repartition("tile_r", "tile_c").sortWithinPartitions("tile_r", "tile_c", "ts_ms")
+    tiled = with_tiles(checked, grid).repartitionByRange("tile_r", "tile_c", "ts_ms").sortWithinPartitions("tile_r", "tile_c", "ts_ms")
     tiled.write.mode("append").partitionBy("tile_r", "tile_c").parquet(f"{root}/cells")
 
 

@@ -17,8 +17,9 @@ KEY = ["series_id"]
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Append rows to the stored table, one folder a series, sorted so that times prune row groups."""
-    df.sortWithinPartitions("series_id", "append_seq").write.mode("append").partitionBy("series_id").parquet(path)
+    """Append rows to the stored table, by ranges of series and order, so that both prune files and row groups and a long
+    series is written by many tasks."""
+    df.repartitionByRange("series_id", "append_seq").sortWithinPartitions("series_id", "append_seq").write.mode("append").parquet(path)
 
 
 def one(df: DataFrame, series_id: object) -> DataFrame:
