@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidemark.operators.grid import missing_periods, regular_grid
+from tidemark.plans import problems
 
 INFO = "series_id string, period_ms long, active_from long, active_to long"
 BLOCKS = "series_id string, block_seq long, start_ts long, sample_count long, min_val double, max_val double"
@@ -59,3 +60,17 @@ def test_empty_tables_and_extra_columns(spark):
 def test_gap_must_fit_the_chunk(spark):
     with pytest.raises(ValueError):
         regular_grid(spark.createDataFrame([], INFO), spark.createDataFrame([], BLOCKS), 9, 8)
+
+
+def test_a_nan_observes_its_period_and_stays_out_of_low_and_high(spark):
+    n = float("nan")
+    blocks = [("a", 1, 0, 2, n, 3.0), ("a", 2, 1, 3, 1.0, n), ("a", 3, 10, 4, n, n), ("a", 3, 10, 4, n, 7.0), ("a", 4, 20, 5, n, n)]
+    got = regular_grid(spark.createDataFrame([("a", 10, 0, 40)], INFO), spark.createDataFrame(blocks, BLOCKS)).orderBy("slot_ms").collect()
+    assert [tuple(r)[1:] for r in got] == [(0, 5, 1.0, 3.0, "observed"), (10, 4, None, 7.0, "observed"), (20, 5, None, None, "observed"), (30, 0, None, None, "carried")]
+
+
+def test_the_registered_grid_and_missing_periods_agree(spark):
+    d = "/root/testdata/sf0.01"
+    grid = problems.p3_grid(spark, d).filter("status <> 'observed'").select("series_id", "slot_ms")
+    gone = problems.p3_found(spark, d)
+    assert gone.count() > 0 and grid.exceptAll(gone).count() == 0 and gone.exceptAll(grid).count() == 0

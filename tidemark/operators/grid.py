@@ -17,7 +17,8 @@ def regular_grid(info: DataFrame, blocks: DataFrame, max_gap: int = 3, chunk: in
     The periods of a series begin at ``active_from + k * period_ms`` before ``active_to``. A block with a positive
     ``sample_count`` whose ``start_ts`` lies in a period observes it; other blocks fill nothing. Blocks with the same
     (series_id, block_seq) and period count once, with their greatest ``sample_count``. ``samples`` is the sum of the
-    counts, ``low`` and ``high`` the least ``min_val`` and greatest ``max_val``. ``status`` is 'observed'; 'carried' where the
+    counts, ``low`` and ``high`` the least ``min_val`` and greatest ``max_val``; a NaN counts as null there, and its block
+    observes its period all the same. ``status`` is 'observed'; 'carried' where the
     last observed period lies at most ``max_gap`` periods back, whose low and high are then repeated (samples 0);
     'missing' elsewhere (low and high null, samples 0). A series whose limits or period are null, or whose period is not
     positive, has no periods; repeated rows of ``info`` count once; blocks of unknown series are left out.
@@ -40,7 +41,8 @@ def regular_grid(info: DataFrame, blocks: DataFrame, max_gap: int = 3, chunk: in
         .filter((c("start_ts") >= c("f")) & (c("start_ts") < c("t")))
         .withColumn("slot", F.expr("(start_ts - f) div p"))
     )
-    once = placed.groupBy("series_id", "f", "p", "t", "slot", "block_seq").agg(F.max("sample_count").alias("n"), F.min("min_val").alias("lo"), F.max("max_val").alias("hi"))
+    number = lambda f: F.when(~F.isnan(f), c(f))
+    once = placed.groupBy("series_id", "f", "p", "t", "slot", "block_seq").agg(F.max("sample_count").alias("n"), F.min(number("min_val")).alias("lo"), F.max(number("max_val")).alias("hi"))
     by_slot = once.groupBy("series_id", "f", "p", "t", "slot").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # A reading near the end of its chunk also goes to the next one, as what is carried in; a chunk gets at most chunk + max_gap.
     here = F.expr(f"slot div {chunk}")

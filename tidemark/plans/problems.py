@@ -48,7 +48,7 @@ def p3_found(spark, d):
 
 
 def p3_grid(spark, d):
-    g = grid.regular_grid(_t(spark, d, "series_info"), _t(spark, d, "blocks").filter("not isnan(coalesce(min_val, 0)) and not isnan(coalesce(max_val, 0))"))
+    g = grid.regular_grid(_t(spark, d, "series_info"), _t(spark, d, "blocks"))
     return g.select("series_id", "slot_ms", "samples", "low", "high", "status")
 
 
