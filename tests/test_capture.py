@@ -41,6 +41,28 @@ def test_due(spark):
     assert C.due(spark, log, marks.limit(0), runs.limit(0)).count() == 7
 
 
+def test_due_over_runs_on_one_root(spark):
+    data = [change(1, "late", version=1, cid="l1", hlc=(5, 0, "n")), change(2, "new", version=1, cid="n1", hlc=(1, 0, "n")), change(3, "still", version=1, cid="s1")]
+    more = [change(4, "late", version=9, cid="l0", hlc=(2, 0, "n")), change(5, "new", version=2, cid="n2", hlc=(3, 0, "n")), change(6, "first", version=1, cid="f1"), change(7, "none", cid=None, hlc=None)]
+    last = [change(8, "none", version=4, cid="q", hlc=(1, 0, "n")), change(9, "first", op="delete", version=2, cid="f2", hlc=(2, 0, "n"))]
+    log, root = lambda rows: spark.createDataFrame(rows, LOG), shared.fresh_folder(spark, "t")
+    runs = spark.createDataFrame([(1, "succeeded"), (2, "failed")], RUNS)
+    mark = lambda i, run, doc, version, cid: (i, run, "c", doc, version, cid)
+    took = lambda rows, marks: {(r.doc_id, r.version, r.change_id, r.op) for r in C.due(spark, log(rows), spark.createDataFrame(marks, MARKS), runs, root).collect()}
+    late, still = ("late", 1, "l1", "put"), ("still", 1, "s1", "put")
+    assert took(data, []) == {late, ("new", 1, "n1", "put"), still}
+    seen = [mark(1, 1, "late", 1, "l1"), mark(2, 1, "new", 1, "n1"), mark(3, 2, "still", 1, "s1")]  # the run that took "still" failed
+    second = {("new", 2, "n2", "put"), ("first", 1, "f1", "put"), ("none", 1, None, "put"), still}
+    assert took(data + more, seen) == second  # "late" came again with an older clock
+    assert took(data + more, seen) == second  # nothing new in the log, nothing recorded
+    c = C.ChangeCapture(spark, root, ["collection", "doc_id"])
+    assert c.plan(log(data + more + last[:1]))["batch"] == 2  # this call is lost before its commit
+    whole = data + more + last
+    third = {("new", 2, "n2", "put"), ("first", 2, "f2", "delete"), ("none", 4, "q", "put"), still}
+    assert took(whole, seen) == third and c._batches("plans") == c._batches("commits") == [0, 1, 2, 3]
+    assert {(r.doc_id, r.version, r.change_id, r.op) for r in C.due(spark, log(whole), spark.createDataFrame(seen, MARKS), runs).collect()} == third
+
+
 def test_runs_survive_failures_without_gaps_or_repeats(spark):
     r = random.Random(3)
     data = [(i, "c", f"d{r.randrange(30)}", "put", i, str(i), (i, 0, "n")) for i in range(300)]

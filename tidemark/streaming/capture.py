@@ -135,17 +135,33 @@ def recorded(marks: DataFrame, runs: DataFrame) -> DataFrame:
     return latest_by(rows, ["collection", "doc_id"], [F.col("run_id"), F.col("mark_id")]).drop("mark_id")
 
 
+def stored_heads(capture: ChangeCapture, log: DataFrame) -> DataFrame:
+    """The heads that the committed batches of ``capture`` hold, one row a document, in the order of ``heads``."""
+    done = capture._batches("commits")
+    if not done:
+        return heads(log.limit(0))
+    rows = capture.spark.read.parquet(*[f"{capture.root}/sink/batch={n}" for n in done])
+    if len(done) == 1:
+        return rows
+    told = F.coalesce(F.length("change_id") > 0, F.lit(False))
+    return latest_by(rows, capture.keys, [hlc_order(F.col("hlc")), told, F.col("seq")])
+
+
 def due(spark: SparkSession, log: DataFrame, marks: DataFrame, runs: DataFrame, root: str | None = None) -> DataFrame:
     """(collection, doc_id, version, change_id, op) of every document the next run must process.
 
-    The run's plan is written ahead under ``root`` (a new folder of the shared one by default), its rows are reduced to
-    heads, and a head is due if no succeeded run recorded the document or the latest that did has another version or
-    another change_id. A missing identifier equals a missing or empty one only.
+    The new rows of the log are planned ahead under ``root`` (a new folder of the shared one by default), reduced to heads,
+    written as a batch and committed; a plan that an earlier call lost is replayed first. The heads of all committed
+    batches are held against each other by their clocks, so a late change with an older one stays behind. A head is due
+    if no succeeded run recorded the document or the latest that did has another version or another change_id, whichever
+    call first saw it: a document comes out until a run that succeeds has recorded it. A missing identifier equals a
+    missing or empty one only.
     """
     capture = ChangeCapture(spark, root or shared.fresh_folder(spark, "capture"), ["collection", "doc_id"])
-    plan = capture.plan(log)
-    rows = capture.read(log, plan) if plan else log.limit(0)
-    h, r = heads(rows).alias("h"), recorded(marks, runs).alias("r")
+    lost = set(capture._batches("plans")) - set(capture._batches("commits"))
+    for _ in range(len(lost) + 1):
+        capture.run(log, heads)
+    h, r = stored_heads(capture, log).alias("h"), recorded(marks, runs).alias("r")
     same = (F.col("h.collection").eqNullSafe(F.col("r.collection"))) & (F.col("h.doc_id").eqNullSafe(F.col("r.doc_id")))
     known = F.col("r.run_id").isNotNull()
     agree = F.col("h.version").eqNullSafe(F.col("r.version")) & (F.coalesce("h.change_id", F.lit("")) == F.coalesce("r.change_id", F.lit("")))
