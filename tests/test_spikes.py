@@ -103,3 +103,29 @@ def test_empty_tables(spark):
     assert spikes.implausible(info, blocks).count() == 0
     one = spark.createDataFrame([("a", 1, -5.0, 1.0)], BLOCKS)
     assert spikes.implausible(info.limit(0), one).count() == 0 and spikes.implausible(info, one).count() == 1
+
+
+@pytest.mark.parametrize("chunk", [240, 4096])
+def test_separation_judges_by_the_time_of_day_at_start_ts(spark, chunk):
+    r, hour = random.Random(5), 3_600_000
+    usual = lambda k: 80.0 if 6 <= k % 24 < 14 else 20.0  # a third of each day lies far from the level
+    ks = [k for k in range(20 * 24) if r.random() < 0.9 or k == 10 * 24 + 7]  # gaps, so order and time of day part
+    value = {k: usual(k) + r.gauss(0, 1) for k in ks}
+    value[10 * 24 + 7] = 20.0  # near the level, but not at that hour
+    value[ks[40]], value[ks[300]] = 300.0, -200.0
+    blocks = [("a", q, 1000 + k * hour + r.randrange(hour), value[k], value[k]) for q, k in enumerate(ks)]
+    blocks += [("a", 9000, None, 500.0, 500.0), ("a", 9001, 0, 20.0, 20.0), ("a", 9002, 1000 + 30 * 24 * hour, 20.0, -500.0), ("b", 1, None, 1.0, 1.0)]
+    df = spark.createDataFrame(blocks + blocks[:50], "series_id string, block_seq long, start_ts long, min_val double, max_val double")
+    info = spark.createDataFrame([("a", hour, 1000, 1000 + 20 * 24 * hour)], "series_id string, period_ms long, active_from long, active_to long")
+    got = {x.block_seq for x in spikes.separated(info, df, chunk).collect()}
+    assert got == {ks.index(10 * 24 + 7), 40, 300, 9000, 9002}
+    assert spikes.separated(info, df.limit(0)).count() == 0
+
+
+def test_separation_without_days_or_info(spark):
+    r = random.Random(6)
+    values = [r.gauss(20, 1) for _ in range(200)]
+    values[77] = 90.0
+    blocks = spark.createDataFrame([(s, q, q * 60_000, v, v) for s in "abc" for q, v in enumerate(values)], "series_id string, block_seq long, start_ts long, min_val double, max_val double")
+    info = spark.createDataFrame([("a", 60_000, 0, 12_000_000), ("b", 0, 0, 12_000_000)], "series_id string, period_ms long, active_from long, active_to long")
+    assert sorted(tuple(x) for x in spikes.separated(info, blocks).collect()) == [("a", 77), ("b", 77), ("c", 77)]

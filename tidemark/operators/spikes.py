@@ -16,13 +16,15 @@ from ..sources.shared import written
 FIELDS = ("min_val", "max_val")
 #: A spike is farther from the usual level than FAR times the usual spread; a run of RUN equal blocks is stuck.
 FAR, RUN = 10.0, 8
-#: Blocks by block_seq in one matrix; the unit in which a series of any length is spread over tasks.
+#: Blocks by block_seq in one chunk, places in one matrix; the unit in which a series of any length is spread over tasks.
 CHUNK = 4096
 #: Greatest relative rank error of level and spread is 1 / ACCURACY; below that many values they are exact.
 ACCURACY = 5000
 #: Makes the median absolute deviation of normal values equal to their standard deviation.
 NORMAL = 1.4826
 DAY_MS = 86_400_000
+#: Distances from the level are cut to this many spreads before a matrix is split, so none outweighs all others.
+WILD = 1e4
 
 
 def _finite(c: Column) -> Column:
@@ -51,34 +53,14 @@ def robust_pca(m: np.ndarray, rounds: int = 40, tol: float = 1e-5) -> tuple[np.n
     return low, m - low
 
 
-def profile_width(n: int, day: int) -> int:
-    """Columns of the profile matrix of ``n`` positions: a day's periods if three days are there, else about the root of n."""
-    return day if 2 <= day and n >= 3 * day else max(2, int(np.sqrt(n)))
-
-
-def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Positions whose sparse part, or whose low-rank part's distance from the level, is beyond half of FAR.
-
-    The two add up to the distance from the level, so no value beyond FAR is lost; the exact test follows.
-    """
-    pdf = pdf.sort_values("block_seq", kind="stable")
-    at = (pdf["block_seq"] - pdf["block_seq"].iloc[0]).to_numpy()
-    n, hit = int(at[-1]) + 1, np.zeros(len(pdf), bool)
-    width = profile_width(n, int(pdf["day"].iloc[0]))
-    rows = -(-n // width)
-    for i in range(len(FIELDS)):
-        level, spread = pdf[f"level{i}"].iloc[0], pdf[f"spread{i}"].iloc[0]
-        if not spread > 0:  # null too
-            continue
-        v = pdf[FIELDS[i]].to_numpy(float)
-        ok = np.isfinite(v)
-        z = np.zeros(rows * width)  # what is absent lies at the level
-        with np.errstate(over="ignore"):
-            z[at[ok]] = np.clip((v[ok] - level) / spread, -1e9, 1e9)
-        low, sparse = robust_pca(z.reshape(rows, width))
-        beyond = (np.abs(sparse) > FAR / 2) | (np.abs(low) > FAR / 2)
-        hit[ok] |= beyond.ravel()[at[ok]]
-    return pdf.loc[hit]
+def usual_values(b: DataFrame) -> DataFrame:
+    """(series_id, level0, level1, spread0, spread1): median and NORMAL times median absolute deviation of each field's finite values."""
+    c = F.col
+    mid = lambda v: F.percentile_approx(v, 0.5, ACCURACY)
+    level = written(b.groupBy("series_id").agg(*[mid(F.when(_finite(c(f)), c(f))).alias(f"level{i}") for i, f in enumerate(FIELDS)]), "levels")
+    off = lookup_join(b, level, ["series_id"], c("block_seq"))
+    spread = off.groupBy("series_id").agg(*[(NORMAL * mid(F.when(_finite(c(f)), F.abs(c(f) - c(f"level{i}"))))).alias(f"spread{i}") for i, f in enumerate(FIELDS)])
+    return level.join(spread, "series_id")
 
 
 def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -91,30 +73,19 @@ def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataF
     NORMAL times the median absolute deviation; a field whose spread is zero has no spikes. Nulls alone are no case;
     blocks without a series_id or block_seq are left out.
 
-    A series is cut by block_seq into chunks. Spikes are looked for in each chunk's matrix of daily profiles, from which
-    robust principal components take the low-rank part away; runs are found in chunks and joined over their ends.
-    Level and spread come from mergeable sketches, so no task holds more than a chunk of any series.
+    These are plain rules; ``separated`` is the verdict of robust principal components. A series is cut by block_seq into
+    chunks, in which runs are found and joined over their ends. Level and spread come from mergeable sketches, so no task
+    holds more than a chunk of any series.
     """
-    ship(blocks.sparkSession)
     c = F.col
     b = blocks.filter(c("series_id").isNotNull() & c("block_seq").isNotNull()).groupBy("series_id", "block_seq").agg(*[F.max(f).alias(f) for f in FIELDS])
     b = written(b.withColumn("chunk", F.floor(c("block_seq") / chunk)), "blocks")
-    limits = info.groupBy("series_id").agg(F.max("phys_min").alias("least"), F.min("phys_max").alias("most"), F.max("period_ms").alias("period"))
-
-    # Level and spread.
-    mid = lambda v: F.percentile_approx(v, 0.5, ACCURACY)
-    level = written(b.groupBy("series_id").agg(*[mid(F.when(_finite(c(f)), c(f))).alias(f"level{i}") for i, f in enumerate(FIELDS)]), "levels")
-    off = lookup_join(b, level, ["series_id"], c("block_seq"))
-    spread = off.groupBy("series_id").agg(*[(NORMAL * mid(F.when(_finite(c(f)), F.abs(c(f) - c(f"level{i}"))))).alias(f"spread{i}") for i, f in enumerate(FIELDS)])
-    usual = level.join(spread, "series_id").join(limits, "series_id", "left")
-    day = F.coalesce(F.when(c("period") > 0, F.round(DAY_MS / c("period"))), F.lit(0)).cast("int")
-    usual = written(usual.withColumn("day", day), "usual")
+    limits = info.groupBy("series_id").agg(F.max("phys_min").alias("least"), F.min("phys_max").alias("most"))
 
+    usual = written(usual_values(b).join(limits, "series_id", "left"), "usual")
     known = lookup_join(b, usual, ["series_id"], c("block_seq"))
-    valued = known.drop("least", "most", "period")
-    found = valued.groupBy("series_id", "chunk").applyInPandas(_candidates, valued.schema)
     far = reduce(lambda x, y: x | y, [_finite(c(f)) & (c(f"spread{i}") > 0) & (F.abs(c(f) - c(f"level{i}")) > FAR * c(f"spread{i}")) for i, f in enumerate(FIELDS)])
-    spike = found.filter(far)
+    spike = known.filter(far)
 
     bad = [c(f).isNotNull() & ~_finite(c(f)) for f in FIELDS]
     bad += [x for f in FIELDS for x in (c(f) < c("least"), c(f) > c("most"))]
@@ -125,6 +96,67 @@ def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataF
     return reduce(DataFrame.unionAll, parts).groupBy("series_id", "block_seq").agg(*[F.bool_or(f).alias(f) for f in flags])
 
 
+def _profiles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Flags the values whose distance from the low-rank part of their profiles is beyond FAR; those without a place, from the level."""
+    spike = np.zeros(len(pdf), bool)
+    placed = pdf["row"].notna().to_numpy()
+    row = (pdf["row"] - pdf["row"].min()).fillna(0).to_numpy().astype(int)
+    pos = pdf["pos"].fillna(0).to_numpy().astype(int)
+    for i in range(len(FIELDS)):
+        level, spread = pdf[f"level{i}"].iloc[0], pdf[f"spread{i}"].iloc[0]
+        if not spread > 0:  # null too
+            continue
+        v = pdf[FIELDS[i]].to_numpy(float)
+        ok = np.isfinite(v)
+        with np.errstate(over="ignore", invalid="ignore"):
+            z = (v - level) / spread
+        usual = np.zeros(len(pdf))
+        use = np.flatnonzero(ok & placed)
+        if len(use):
+            m = np.full((row[use].max() + 1, int(pdf["width"].iloc[0])), np.nan)
+            use = use[np.argsort(-np.abs(z[use]), kind="stable")]  # of several in a slot the nearest to the level stays
+            m[row[use], pos[use]] = np.clip(z[use], -WILD, WILD)
+            seen = ~np.isnan(m).all(axis=0)
+            usual_at = np.zeros(m.shape[1])
+            usual_at[seen] = np.nanmedian(m[:, seen], axis=0)
+            low, _ = robust_pca(np.where(np.isnan(m), usual_at, m))  # what is absent lies where its time of day usually does
+            usual[use] = low[row[use], pos[use]]
+        spike |= ok & (np.abs(np.where(ok, z, 0) - usual) > FAR)
+    return pdf.loc[spike, ["series_id", "block_seq"]]
+
+
+def separated(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(series_id, block_seq) of every block with a value that robust principal components set apart.
+
+    Values, as distances from their field's level in spreads, are placed by ``start_ts``: a row a day from
+    ``active_from``, a column a period of the day. Series active for less than three days, or with fewer than two periods
+    a day, have rows of about the root of their periods instead. Rows go to matrices of about ``chunk`` places, three days
+    at least. Principal component pursuit splits each; a value farther than FAR from the low-rank part is a case, which
+    need not be one of ``implausible`` and the other way round. Blocks whose ``start_ts`` is null or outside the limits of
+    the series have no place and are judged by their distance from the level. Copies count as one, with the least start.
+    """
+    ship(blocks.sparkSession)
+    c = F.col
+    b = blocks.filter(c("series_id").isNotNull() & c("block_seq").isNotNull()).groupBy("series_id", "block_seq")
+    b = written(b.agg(*[F.max(f).alias(f) for f in FIELDS], F.min("start_ts").alias("start_ts")), "placed")
+    times = info.groupBy("series_id").agg(*[F.max(f).cast("long").alias(f) for f in ("period_ms", "active_from", "active_to")])
+    usual = usual_values(b).join(times, "series_id", "left")
+    span, slots = c("active_to") - c("active_from"), F.expr(f"({DAY_MS} + period_ms - 1) div period_ms")
+    usual = usual.withColumn("daily", (span >= 3 * DAY_MS) & (c("period_ms") <= DAY_MS // 2))
+    root = F.greatest(F.lit(2), F.floor(F.sqrt(F.least(F.expr("(active_to - active_from) div period_ms"), F.lit(chunk)))))
+    usual = usual.withColumn("width", F.when(c("period_ms") > 0, F.when(c("daily"), slots).otherwise(root)).cast("long"))
+    # Rows of a part; a short last part goes with the one before.
+    usual = usual.withColumn("high", F.greatest(F.lit(3), F.expr(f"{chunk} div width")).cast("long"))
+    line = F.when(c("daily"), F.lit(DAY_MS)).otherwise(c("width") * c("period_ms"))
+    usual = written(usual.withColumn("line", line).withColumn("parts", F.greatest(F.lit(1), F.expr("(active_to - active_from) div (line * high)"))), "profiles")
+    x = lookup_join(b, usual, ["series_id"], c("block_seq"))
+    t = F.when((c("start_ts") >= c("active_from")) & (c("start_ts") < c("active_to")) & c("width").isNotNull(), c("start_ts") - c("active_from"))
+    x = x.withColumn("t", t).withColumns({"row": F.expr("t div line"), "pos": F.expr("(t % line) div period_ms")})
+    x = x.withColumn("part", F.coalesce(F.least(F.expr("row div high"), c("parts") - 1), -1 - F.floor(F.abs("block_seq") / chunk)))
+    x = x.select("series_id", "block_seq", *FIELDS, *[f"{k}{i}" for i in range(len(FIELDS)) for k in ("level", "spread")], "width", "row", "pos", "part")
+    return x.groupBy("series_id", "part").applyInPandas(_profiles, x.select("series_id", "block_seq").schema)
+
+
 def stuck_runs(b: DataFrame, least: int = RUN) -> DataFrame:
     """(series_id, block_seq) of the blocks in runs of at least ``least`` equal blocks; ``b`` has one row a block and ``chunk``."""
     c = F.col
