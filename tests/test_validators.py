@@ -67,3 +67,11 @@ def test_deep_schemas_stay_small(spark):
         s = v.obj(a=s, b=v.string().trim().min_len(1).matches("x").optional())
     (r,) = parse(spark, s, '{"a":{"a":{"a":{"a":{"a":{"a":"no"}}}}}}')
     assert issues(r) == [("$.a.a.a.a.a.a", "wrong kind")]
+
+
+def test_the_registered_variant_query_validates_every_collection(spark, tmp_path):
+    from tidemark.plans import reference
+
+    data = [(1, "users", '{"age": 3}'), (2, "items", '{"age": 4}'), (3, "items", '{"age": -1}'), (4, "zones", '{"n": 1}'), (5, None, '{"age": 5}'), (6, "items", "no json")]
+    spark.createDataFrame(data, "seq long, collection string, value string").write.parquet(f"{tmp_path}/repl_changes.parquet")
+    assert {tuple(r) for r in reference.validate_variant(spark, str(tmp_path)).collect()} == {(1, 3), (2, 4), (5, 5)}
