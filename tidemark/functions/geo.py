@@ -55,8 +55,26 @@ def _outside(v: Column, lo: Column, hi: Column) -> Column:
 
 def box_distance(x: Number, y: Number, b: Column) -> Column:
     """Planar distance to the box, 0 inside."""
+    return F.sqrt(box_distance_sq(x, y, b))
+
+
+def box_distance_sq(x: Number, y: Number, b: Column) -> Column:
+    """The square of ``box_distance``."""
     dx, dy = _outside(_c(x), b["min_x"], b["max_x"]), _outside(_c(y), b["min_y"], b["max_y"])
-    return F.sqrt(dx * dx + dy * dy)
+    return dx * dx + dy * dy
+
+
+def _spread_bits(v: Column) -> Column:
+    """The 16 low bits of a BIGINT, each followed by a zero."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def morton(lon: Column, lat: Column) -> Column:
+    """A BIGINT in which points that are near have near values: 16 bits of each degree, in turn. Null for a null."""
+    step = lambda v, low, width: F.least(F.greatest(F.floor((v - low) / width * 65536), F.lit(0)), F.lit(65535)).cast("long")
+    return _spread_bits(step(lon, -180.0, 360.0)).bitwiseOR(F.shiftleft(_spread_bits(step(lat, -90.0, 180.0)), 1))
 
 
 # -- distances -------------------------------------------------------------------------------------------------------

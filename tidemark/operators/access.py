@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.values import LETTERS, kind_of_literal, kind_of_type
-from ..plans.skew import col, fits, fresh
+from ..plans.skew import col, fits, fresh, hot_keys
 
 KEY = "doc_id"
 
@@ -30,13 +30,21 @@ def get_many(df: DataFrame, ids: Sequence | DataFrame, key: str = KEY, position:
     """The documents of a list of ids. Ids without a document are left out; an id that is listed twice gives two rows.
 
     ``position`` names a column that receives the place of each id in the list, for reads in input order. ``ids`` may be a
-    DataFrame with the column ``key``: it is broadcast if its size is checked to be small, and joined by shuffle else.
+    DataFrame with the column ``key``: it is broadcast if its size is checked to be small, and joined by shuffle else; ids
+    that are listed very often then meet their documents, which are few, by broadcast.
     """
     if isinstance(ids, DataFrame):
-        return df.join(F.broadcast(ids) if fits(ids) else ids, key)
+        if fits(ids):
+            return df.join(F.broadcast(ids), key)
+        hot = hot_keys(ids, [key])
+        if hot is None:
+            return df.join(ids, key)
+        often = df.join(F.broadcast(hot), key, "left_semi")
+        rest = df.join(ids.join(F.broadcast(hot), key, "left_anti"), key)
+        return rest.unionByName(ids.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(often), key).select(*[col(c) for c in rest.columns]))
     pos = position or fresh(df, "position")[0]
     listed = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"`{pos}` long, `{key}` {dict(df.dtypes)[key]}")
-    found = df.join(F.broadcast(listed) if len(ids) <= 100_000 else listed, key)
+    found = df.join(F.broadcast(listed) if fits(listed) else listed, key)
     return found if position else found.drop(pos)
 
 
@@ -54,7 +62,7 @@ def field(df: DataFrame, path: str) -> Column:
     return col(path) if path in df.columns else F.col(path)
 
 
-def _kind(df: DataFrame, path: str) -> str | None:
+def kind_of(df: DataFrame, path: str) -> str | None:
     return kind_of_type(df.select(field(df, path).alias("x")).dtypes[0][1])
 
 
@@ -69,7 +77,7 @@ def find_by(df: DataFrame, equal: dict[str, object], limit: int = 0, key: str =
     cond = F.lit(True)
     for path, v in equal.items():
         k = kind_of_literal(v)
-        cond = cond & (field(df, path).isNull() if v is None else field(df, path) == F.lit(v) if k == _kind(df, path) else F.lit(False))
+        cond = cond & (field(df, path).isNull() if v is None else field(df, path) == F.lit(v) if k == kind_of(df, path) else F.lit(False))
     found = df.filter(cond)
     return found.orderBy(col(key)).limit(limit) if limit > 0 else found
 
@@ -84,7 +92,7 @@ def range_by(
     of its values or for none. Null has its place among the kinds: after ints and floats, before strings; an open bound on
     that side includes it, as two open bounds always do.
     """
-    k = _kind(df, path)
+    k = kind_of(df, path)
     if k is None:
         return df.limit(0)
     c, own, null = field(df, path), LETTERS[k], LETTERS["null"]

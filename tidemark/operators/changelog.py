@@ -45,10 +45,10 @@ def _append_many(spark: SparkSession, log: str, rows: DataFrame, op: str, collec
     append(log, changes(rows, op, collection, F.lit(last + 1) + F.monotonically_increasing_id()))
 
 
-def read(spark: SparkSession, log: str, tolerant: bool = False) -> DataFrame:
-    """A stored log. ``tolerant`` leaves out files that are torn or corrupt, as a recovery does, instead of failing."""
+def read(spark: SparkSession, log: str | list[str], tolerant: bool = False) -> DataFrame:
+    """A stored log, of one folder or several. ``tolerant`` leaves out files that are torn or corrupt, as a recovery does, instead of failing."""
     reader = spark.read.option("mergeSchema", "true")
-    return (reader.option("ignoreCorruptFiles", "true") if tolerant else reader).parquet(log)
+    return (reader.option("ignoreCorruptFiles", "true") if tolerant else reader).parquet(*[log] if isinstance(log, str) else log)
 
 
 def current(log: DataFrame, keys: list[str] = KEYS) -> DataFrame:

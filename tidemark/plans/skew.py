@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+
 #: A lookup side is broadcast only if its rows, at the width of its schema, take no more than this.
 BROADCAST_BYTES = 16 << 20
+#: A key is hot if it has more rows than HOT_ROWS and than one HOT_SHARE-th of all: no more than HOT_SHARE keys can be.
+HOT_ROWS, HOT_SHARE = 50_000, 10_000
 #: Parts into which every key of the large side is split otherwise.
 SALTS = 16
 
@@ -50,6 +54,15 @@ def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot values of ``keys``, HOT_SHARE at most whatever the data, or null for none. Counted with map-side aggregation."""
+    (n,) = fresh(df, "n")
+    counts = written(df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(n)), "key-counts")
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = counts.filter(col(n) > max(rows, total // HOT_SHARE)).drop(n)
+    return hot if hot.limit(1).count() else None
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join each row of ``big`` with its row of ``small`` (unique in ``on``).
 

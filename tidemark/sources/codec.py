@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -41,7 +42,7 @@ class Bits:
         return int("1" + s, 2).to_bytes(len(s) // 8 + 1, "big")[1:] if s else b""
 
 
-#: Bits of a delta of deltas by its prefix of ones; the last holds any.
+#: Bits of a delta of deltas by its prefix of ones; the last holds any.
 WIDTHS = (0, 7, 9, 12, 65)
 
 
@@ -149,6 +150,38 @@ def decode_tile(data: bytes) -> tuple[list[int], list[list[float]]]:
     return parts[0][0], [v for _, v in parts[1:]]
 
 
+def encode_tiles(rows: DataFrame) -> DataFrame:
+    """(tile_r, tile_c, seg, part, frames, payload) of rows that ``raster.with_chunks`` made; a group is one chunk of a tile,
+    its cells in the order of row, col and channel. A cell that lacks a frame is 0 in it."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = pdf.pivot_table(index=["ts_ms", "append_seq"], columns=["row", "col", "channel"], values="value", aggfunc="first", dropna=False).sort_index(level="append_seq").sort_index(axis=1).fillna(0.0)
+        places = np.array(list(cells.columns), "<i4").tobytes()
+        raw = encode_tile([int(t) for t, _ in cells.index], cells.to_numpy().T.tolist())
+        key = [pdf[c].iloc[0] for c in ("tile_r", "tile_c", "seg", "part")]
+        return pd.DataFrame([[*key, len(cells), struct.pack(">I", len(places)) + places + raw]], columns=["tile_r", "tile_c", "seg", "part", "frames", "payload"])
+
+    ship(rows.sparkSession)
+    return rows.groupBy("tile_r", "tile_c", "seg", "part").applyInPandas(one, "tile_r int, tile_c int, seg long, part long, frames long, payload binary")
+
+
+def decode_tiles(chunks: DataFrame) -> DataFrame:
+    """(ts_ms, row, col, channel, value) of encoded chunks of tiles."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for raw in pdf["payload"]:
+                raw = bytes(raw)
+                n = struct.unpack(">I", raw[:4])[0]
+                places = np.frombuffer(raw[4 : 4 + n], "<i4").reshape(-1, 3)
+                ts, cells = decode_tile(raw[4 + n :])
+                out = {c: np.repeat(places[:, i], len(ts)) for i, c in enumerate(("row", "col", "channel"))}
+                yield pd.DataFrame({"ts_ms": np.tile(np.array(ts, "int64"), len(places)), **out, "value": np.array(cells, float).ravel()})
+
+    ship(chunks.sparkSession)
+    return chunks.select("payload").mapInPandas(each, "ts_ms long, row int, col int, channel int, value double")
+
+
 # -- tagged values -------------------------------------------------------------------------------------------------------
 def _varint(n: int) -> bytes:
     out = bytearray()
@@ -239,3 +272,48 @@ def read_framed(stream: BinaryIO) -> Iterator[object]:
     r = _Reader(stream.read())
     while r.at < len(r.data):
         yield decode_value(r.raw(r.varint()))
+
+
+def encode_rows(df: DataFrame, out: str = "payload", framed: bool = False) -> DataFrame:
+    """One row (``out``) a row of ``df``: its columns as the object they make, encoded; ``framed`` with its length before it.
+    Columns are of the types that have a kind, or arrays of them."""
+
+    def each(batches: Iterator) -> Iterator:
+        import io
+
+        import pyarrow as pa
+
+        for b in batches:
+            raw = []
+            for r in b.to_pylist():
+                if framed:
+                    write_framed(stream := io.BytesIO(), r)
+                    raw.append(stream.getvalue())
+                else:
+                    raw.append(encode_value(r))
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], [out])
+
+    ship(df.sparkSession)
+    return df.mapInArrow(each, f"`{out}` binary")
+
+
+def decode_rows(df: DataFrame, schema: str, payload: str = "payload", framed: bool = False) -> DataFrame:
+    """The rows that ``encode_rows`` encoded, with the columns of ``schema``; a field that isn't there is null. ``framed``: a
+    payload holds any number of them."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def each(batches: Iterator) -> Iterator:
+        import io
+
+        import pyarrow as pa
+
+        for b in batches:
+            raw = [x for x in b.column(0).to_pylist() if x is not None]
+            got = [v for x in raw for v in (read_framed(io.BytesIO(x)) if framed else (decode_value(x),))]
+            yield pa.RecordBatch.from_pylist(got, schema=arrow)
+
+    ship(df.sparkSession)
+    return df.select(payload).mapInArrow(each, schema)

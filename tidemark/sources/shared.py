@@ -62,19 +62,62 @@ def names(spark: SparkSession, at: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def write_text(spark: SparkSession, at: str, text: str) -> None:
-    """Write a small file so that it is there whole or not at all."""
-    fs, p = path(spark, at)
-    _, tmp = path(spark, f"{at}.{uuid.uuid4().hex[:8]}.tmp")
+def _stage(spark: SparkSession, at: str, text: str):
+    """``text`` in a file of its own beside ``at``: (local file or null, FileSystem, Path of the file, Path of ``at``)."""
+    fs = path(spark, at)[0]
+    p, tmp = (fs.makeQualified(path(spark, x)[1]) for x in (at, f"{at}.{uuid.uuid4().hex[:12]}.tmp"))
+    if fs.getUri().getScheme() == "file":  # without the checksum files that Hadoop adds to local ones
+        io = spark._jvm.java.nio.file
+        local = io.Path.of(p.toUri()), io.Path.of(tmp.toUri())
+        io.Files.createDirectories(local[0].getParent(), spark._sc._gateway.new_array(io.attribute.FileAttribute, 0))
+        io.Files.write(local[1], bytearray(text.encode()), spark._sc._gateway.new_array(io.OpenOption, 0))
+        return local, fs, tmp, p
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"can't write {at}")
+    return None, fs, tmp, p
+
+
+def _rename(spark: SparkSession, tmp, p, option: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    options = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(getattr(hadoop, "Options$Rename"), option)
+    hadoop.FileContext.getFileContext(p.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(tmp, p, options)
+
+
+def write_text(spark: SparkSession, at: str, text: str) -> None:
+    """Write a small file, in place of what is there, so that it is there whole or not at all."""
+    local, _, tmp, p = _stage(spark, at, text)
+    if local:
+        io = spark._jvm.java.nio.file
+        options = spark._sc._gateway.new_array(io.CopyOption, 1)
+        options[0] = io.StandardCopyOption.ATOMIC_MOVE
+        io.Files.move(local[1], local[0], options)
+    else:
+        _rename(spark, tmp, p, "OVERWRITE")
+
+
+def create_text(spark: SparkSession, at: str, text: str) -> bool:
+    """Write a small file whole if there is none of that name; false, and nothing written, if there is one. Of several
+    writers of one name a single one gets true."""
+    local, fs, tmp, p = _stage(spark, at, text)
+    try:
+        if local:
+            spark._jvm.java.nio.file.Files.createLink(*local)  # fails where the name is taken
+        else:
+            _rename(spark, tmp, p, "NONE")
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    finally:
+        if local:
+            spark._jvm.java.nio.file.Files.deleteIfExists(local[1])
+        elif fs.exists(tmp):
+            fs.delete(tmp, False)
 
 
 def read_text(spark: SparkSession, at: str) -> str:

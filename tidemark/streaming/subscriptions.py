@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,27 +63,45 @@ def field_deltas(log: DataFrame, field: str, keys: list[str] = KEYS, chunk: int
     return rows.withColumns({"kind": kind, "added": added})
 
 
-def _deltas_of_key(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    old = state.get[0] if state.exists else None
-    out = []
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    for r in rows.itertuples():
-        new = r.value if r.op == "put" and isinstance(r.value, str) else None
-        if new != old:
-            grown = old is not None and new is not None and new.startswith(old)
-            kind = "set" if old is None else "delete" if new is None else "append" if grown else "replace"
-            out.append((*key, r.seq, r.version, kind, old, new, new[len(old) :] if grown else None))
-        old = new
-    state.update((old,))
-    yield pd.DataFrame(out, columns=[f.split()[0] for f in DELTA.split(", ")])
+def _deltas_of_key(text: bool, floating: bool):
+    names = [f.split()[0] for f in DELTA.split(", ")]
+
+    def each(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        new = rows["value"].astype(object).where((rows["op"] == "put") & rows["value"].notna(), None).to_numpy(object)
+        old = np.concatenate(([state.get[0] if state.exists else None], new[:-1]))
+        at = old != new
+        if floating:
+            at = at | (new == "NaN")
+        state.update((new[-1],))
+        o, n = old[at], new[at]
+        was, now = pd.notna(o), pd.notna(n)
+        kind = np.select([~was, ~now], ["set", "delete"], "replace").astype(object)
+        added = np.full(len(o), None, object)
+        if text:
+            for i in np.flatnonzero(was & now):  # only where a text took another's place
+                if n[i].startswith(o[i]):
+                    kind[i], added[i] = "append", n[i][len(o[i]) :]
+        out = {k: np.full(len(o), v, object) for k, v in zip(KEYS, key)}
+        yield pd.DataFrame(out | {"seq": rows["seq"].to_numpy()[at], "version": rows["version"].to_numpy()[at], "kind": kind, "old": o, "new": n, "added": added}, columns=names)
+
+    return each
 
 
 def stream_deltas(changes: DataFrame, field: str) -> DataFrame:
-    """The events of ``field_deltas`` for a text field, over a stream of changes; the last value of each document is kept
-    as state. Changes of a document must arrive in the order of seq across batches; inside one they may not."""
+    """The events of ``field_deltas`` over a stream of changes, for a field of any atomic type; the last value of each
+    document is kept as state. Changes of a document must arrive in the order of seq across batches; inside one they may not."""
     ship(changes.sparkSession)
+    kind = dict(changes.dtypes)[field]
     rows = changes.select(*KEYS, "seq", F.col("version").cast("long").alias("version"), "op", col(field).cast("string").alias("value"))
-    return rows.groupBy(*KEYS).applyInPandasWithState(_deltas_of_key, DELTA, "old string", "append", "NoTimeout")
+    each = _deltas_of_key(kind == "string", kind in ("double", "float"))
+    events = rows.groupBy(*KEYS).applyInPandasWithState(each, DELTA, "old string", "append", "NoTimeout")
+    return events.withColumns({c: F.col(c).cast(kind) for c in ("old", "new")})
+
+
+def stream_changes(changes: DataFrame, field: str) -> DataFrame:
+    """The events of ``field_changes`` over a stream: (collection, doc_id, seq, version, old, new)."""
+    return stream_deltas(changes, field).select(*KEYS, "seq", "version", "old", "new")
 
 
 def deliver(events: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
