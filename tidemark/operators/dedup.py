@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import same_id
-from ..plans.skew import col, fresh
+from ..plans.skew import HOT_ROWS, HOT_SHARE, col, fresh
 from ..sources.shared import written
 
-#: Identifiers with more copies than this are ranked in SALTS parts each. Only the TOP most frequent can be, so the
-#: list of them that is broadcast has at most TOP rows; any other has at most one TOP-th of all rows.
-HOT_ROWS, TOP, SALTS = 50_000, 1_000, 64
+#: Parts in which every group is ranked before its parts' first rows are.
+SALTS = 64
 
 
 def mark_copies(
@@ -31,38 +30,38 @@ def mark_copies(
     through; ``new`` is matched by name and may lack columns.
 
     Identifiers are counted with map-side aggregation. Those that occur once pass directly; only the groups of the
-    others are ranked. A group beyond ``hot_rows`` is ranked in salted parts and then among the parts' first rows.
+    others are ranked, every one of them in salted parts and then among the parts' first rows, so no task orders a whole
+    large group. Identifiers with more than ``hot_rows`` rows and one HOT_SHARE-th of all, of which there can't be more
+    than HOT_SHARE, are told apart by broadcast, so that no join by identifier meets them.
     """
     df = stored if new is None else stored.unionByName(new, allowMissingColumns=True)
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"there is a column {out} already")
-    *keys, n, salt, rank, hot = fresh(df.withColumn(out, F.lit(1)), *(f"id{i}" for i in range(len(ids))), "n", "salt", "rank", "hot")
+    *keys, n, salt, rank = fresh(df.withColumn(out, F.lit(1)), *(f"id{i}" for i in range(len(ids))), "n", "salt", "rank")
     keyed = df.withColumns({k: same_id(col(c).cast("string")) if i == 0 else F.coalesce(same_id(col(c).cast("string")), F.lit("\0")) for i, (k, c) in enumerate(zip(keys, ids))})
     told = F.coalesce(F.length(col(keys[0])) > 0, F.lit(False))
 
     counts = keyed.filter(told).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     repeated = written(counts.filter(col(n) > 1), "repeated-ids")
-    many = repeated.orderBy(col(n).desc(), *keys).limit(TOP).filter(col(n) > hot_rows).select(*keys)
-    hot_ids = [tuple(r) for r in many.collect()]  # at most TOP
+    total, most = repeated.agg(F.sum(n), F.max(n)).first()
+    bound = max(hot_rows, (total or 0) // HOT_SHARE)
 
-    anonymous = keyed.filter(~told).withColumn(out, F.lit(False))
-    singles = keyed.filter(told).join(repeated.select(*keys), keys, "left_anti").withColumn(out, F.lit(False))
     rows = keyed.filter(told)
-    by = Window.partitionBy(*keys).orderBy(col(order).asc_nulls_first())
-    parts = [anonymous, singles]
-    if hot_ids:
-        known = F.broadcast(df.sparkSession.createDataFrame(hot_ids, ", ".join(f"`{k}` string" for k in keys)))
-        parts += [_rank_in_parts(rows.join(known, keys, "left_semi"), keys, order, salt, rank, out)]
-        rows = rows.join(known, keys, "left_anti")
-    ranked = rows.join(repeated.select(*keys), keys, "left_semi").withColumn(rank, F.row_number().over(by))
-    parts.append(ranked.withColumn(out, col(rank) > 1))
+    parts = [keyed.filter(~told).withColumn(out, F.lit(False))]
+    if (most or 0) > bound:
+        hot = F.broadcast(repeated.filter(col(n) > bound).select(*keys))  # HOT_SHARE rows at most
+        parts.append(_ranked(rows.join(hot, keys, "left_semi"), keys, order, salt, rank, out))
+        rows = rows.join(hot, keys, "left_anti")
+    again = repeated.filter(col(n) <= bound).select(*keys)
+    parts.append(rows.join(again, keys, "left_anti").withColumn(out, F.lit(False)))
+    parts.append(_ranked(rows.join(again, keys, "left_semi"), keys, order, salt, rank, out))
     result = parts[0].select(*[col(c) for c in [*df.columns, out]])
     for p in parts[1:]:
         result = result.unionAll(p.select(*[col(c) for c in [*df.columns, out]]))
     return result
 
 
-def _rank_in_parts(rows: DataFrame, keys: list[str], order: str, salt: str, rank: str, out: str) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], order: str, salt: str, rank: str, out: str) -> DataFrame:
     """Rank groups of any size: each in SALTS parts by a hash of the order, then the parts' first rows among themselves."""
     first: Column = col(order).asc_nulls_first()
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(col(order)), F.lit(SALTS)))
