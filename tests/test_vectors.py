@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows
 
 from tidemark.operators import feed
@@ -75,3 +76,38 @@ def test_extra_columns_pass_and_empty_feed(spark):
     df = spark.createDataFrame([(*r, "v", "w") for r in made(50, 5, 8)], LOG + ", value string, told2 string")
     assert "value" in feed.alive(feed.apply_feed(df, extra=("value",))).columns
     assert feed.alive(feed.apply_feed(df.limit(0))).count() == 0
+
+
+def _table(spark, n=6000):
+    t = VectorTable(spark, shared.fresh_folder(spark, "v"), ["k"], ["o"])
+    t.apply(spark.range(n).selectExpr("id as k", "1L as o", "'a' as v"))
+    return t
+
+
+def test_a_small_batch_reads_few_buckets_of_the_index_and_shuffles_none_of_it(spark):
+    t = _table(spark)
+    new = spark.createDataFrame([(5, 2, "b"), (99_999, 2, "b")], "k long, o long, v string")
+    places = t.stored_places(new, t._held(t._log()))
+    assert places.collect()[0]["__k0"] == 5 and places.count() == 1
+    assert len(t.touched(new)) <= 2 < len(t._index(t._held(t._log())).inputFiles())
+    plan = places._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "PartitionFilters: [bucket" in plan
+
+
+def test_compaction_changes_nothing_for_readers_and_drops_dead_files(spark):
+    t = _table(spark, 900)
+    for o in (2, 3):
+        t.apply(spark.range(0, 900, 2 if o == 2 else 1).selectExpr("id as k", f"{o}L as o", "'b' as v").filter("k < 600"))
+    before = rows(t.read(), "k")
+    assert len(t.compact()) == 2 and rows(t.read(), "k") == before and t.compact() == []
+    t.vacuum()
+    assert rows(t.read(), "k") == before and len(shared.names(spark, f"{t.root}/data")) == 2
+    t.apply(spark.createDataFrame([(1, 1, "old"), (700, 9, "new"), (5000, 1, "first")], "k long, o long, v string"))
+    got = {r.k: r.v for r in t.read().collect()}
+    assert len(got) == 901 and (got[1], got[700], got[5000], got[2]) == ("b", "new", "first", "b")
+
+
+def test_of_two_writers_of_one_batch_one_commits(spark):
+    t = _table(spark, 10)
+    with pytest.raises(RuntimeError):
+        t._claim(0, "x", [])
