@@ -139,3 +139,47 @@ def test_neighbours_against_brute_force(spark, metric, dist):
     assert got == {(i, n) for i, x, y in asked for n, px, py in data if dist((px, py), (x, y)) <= most}
     assert neighbours.radius_join(q, df, -1, metric).count() == 0
     assert neighbours.radius_join(q, df, F.when(F.col("query_id") == 93, 0.0).otherwise(-1), metric).count() == 2
+
+
+@pytest.fixture
+def shuffled(monkeypatch):
+    """Joins as they are done where neither side fits a broadcast, with crowds split from a few rows on."""
+    from tidemark.plans import skew
+
+    for m in (neighbours, spatial):
+        monkeypatch.setattr(m, "fits", lambda df: False)
+        monkeypatch.setattr(m, "crowded", lambda df, on, *_: skew.crowded(df, on, 0.01, 5))
+    monkeypatch.setattr(neighbours, "SHARE", 0.01)
+
+
+@pytest.mark.parametrize("metric,dist", [("planar", math.dist), ("geographic", arc)])
+def test_neighbours_by_shuffle_with_crowded_cells(spark, metric, dist, shuffled):
+    test_neighbours_against_brute_force(spark, metric, dist)
+
+
+def test_polygon_join_by_shuffle_with_crowded_cells(spark, shuffled):
+    r = random.Random(12)
+    data = [(f"p{i}", r.uniform(-50, 50), r.uniform(-50, 50)) for i in range(400)] + [(f"h{i}", 3.0, 4.0) for i in range(200)]
+    boxes = [(i, *(c := (r.uniform(-50, 50), r.uniform(-50, 50))), 10 ** r.uniform(-3, 1.8)) for i in range(60)] + [(100 + i, 3.0, 4.0, 5.0) for i in range(20)]
+    z = spatial.with_polygons(spark.createDataFrame([(i, [[x, y - h], [x + h, y], [x, y + h], [x - h, y]]) for i, x, y, h in boxes], "zone int, shape array<array<double>>"))
+    got = [(x.doc_id, x.zone) for x in spatial.points_in_polygons(spark.createDataFrame(data, P), z).collect()]
+    assert sorted(got) == sorted((k, i) for k, x, y in data for i, cx, cy, h in boxes if abs(x - cx) + abs(y - cy) < h)
+    assert spatial.points_in_polygons(spark.createDataFrame(data, P), z.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["planar", "geographic"])
+def test_what_a_query_is_held_against_does_not_grow_with_the_data(spark, metric):
+    from tidemark.operators.neighbours import _coordinates, asked_cells, cells
+
+    per = []
+    for n in (20_000, 200_000):
+        p = spark.range(n).select(F.expr("rand(1) * 360 - 180").alias("lon"), F.expr("degrees(asin(2 * rand(2) - 1))").alias("lat"))
+        c = _coordinates(metric, F.col("lon"), F.col("lat"))
+        grid = cells(p, c, metric)
+        assert grid.total == n and grid.counts[grid.leaf].sum() == n and grid.counts[grid.leaf].max() <= neighbours.POPULATION
+        at = [f"a{i}" for i in range(len(c))]
+        q = p.limit(500).select(*[x.alias(a) for x, a in zip(c, at)], F.lit(-1.0).alias("r"))
+        asked = asked_cells(q, grid, 4, at, "r", "cell").groupBy("cell").count().collect()
+        held = dict(zip(grid.numbers, grid.counts))
+        per.append(sum(held[r["cell"]] * r["count"] for r in asked) / 500)
+    assert per[1] < 1.5 * per[0] and max(per) < 30 * neighbours.POPULATION

@@ -1,10 +1,12 @@
 """Joins of many query points with many points: the k nearest of each, and all within a distance of each.
 
-Space is cut into a grid of a fixed number of cells, in the plane or, for great-circle distances, in the cube around the
-unit sphere (where the chord orders points as the arc does, with neither poles nor antimeridian). The points of each cell
-are counted: a table whose size is that of the grid, not of the data. From it each query gets a radius that surely holds k
-points, and the cells that its ball meets and that aren't empty; queries and points then meet by equal cell. Crowded cells are
-split by salt, so no task gets more than its share of any of them.
+Space is cut into cells of bounded population, in the plane or, for great-circle distances, in the cube around the unit sphere
+(where the chord orders points as the arc does, with neither poles nor antimeridian). Every point is counted, in cells that
+are halved in each direction until they hold no more than POPULATION points, or so many that there are no more than about
+CELLS cells, whose table is what the driver and the tasks hold of the data. From it each query gets a radius that surely
+holds k points, and the cells that its ball meets; queries and points then meet by equal cell, so what a query is held
+against grows with the population of a cell, not with the data. Cells that hold many points nevertheless (of one place, say)
+or that many queries ask for are split by salt, so no task gets more than its share of any of them.
 """
 
 from __future__ import annotations
@@ -17,12 +19,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..plans.skew import col, fresh
+from ..plans.skew import col, crowded, fits, fresh, spread_join
 from ..session import ship
+from ..sources.shared import written
 
-#: Cells a side: 65 536 cells in the plane, 262 144 in the cube, of which the sphere meets some 15 000.
-SIDES = {2: 256, 3: 64}
-#: A cell with more than this share of the points is split, into SPLIT parts at most; no more than 1 / SHARE cells can be.
+#: Points of a cell, and a bound on the number of cells: with more than POPULATION * CELLS / 2 points cells hold more.
+POPULATION, CELLS = 32, 1 << 20
+#: Halvings of each direction that are counted at first, and at most, by the number of directions.
+FIRST, DEEPEST = {2: 10, 3: 8}, {2: 26, 3: 18}
+#: Bits of a coordinate in the number of a cell.
+BITS = {2: 29, 3: 19}
+#: A cell with more than this share of the points, or of what the queries ask, is split, into SPLIT parts at most; no more
+#: than 1 / SHARE cells can be.
 SHARE, SPLIT = 0.001, 64
 #: Room for rounding in cell borders and radii.
 ROOM = 1e-9
@@ -35,126 +43,203 @@ def _coordinates(metric: str, x: Column, y: Column) -> list[Column]:
     return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
 
 
-class _Cells:
-    """The grid and the number of points in each cell, as the tasks get it."""
+class Cells:
+    """The tree of cells as the tasks get it: the numbers of its nodes in order, their counts, and which are leaves."""
 
-    def __init__(self, low: np.ndarray, width: np.ndarray, side: int, counts: dict[int, int]):
-        self.low, self.width, self.side, self.d = low, width, side, len(low)
-        flat = np.zeros(side**self.d, np.int64)
-        flat[np.fromiter(counts, np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
-        self.counts = flat.reshape((side,) * self.d)
-        s = np.pad(self.counts, [(1, 0)] * self.d)
+    def __init__(self, low: np.ndarray, size: np.ndarray, counted: list[tuple[int, np.ndarray, np.ndarray]], most: float):
+        """``counted``: for each level that was counted its cells, as coordinates (n, d), and their counts; cells that were
+        counted again deeper are in the deeper level only."""
+        self.low, self.size, self.d = low, size, len(low)
+        given = {lv: (xy, n) for lv, xy, n in counted if len(n)}
+        at: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by level: numbers, counts, whether there are children
+        deepest = max(given, default=0)
+        xy, n = np.zeros((0, self.d), np.int64), np.zeros(0, np.int64)
+        for level in range(deepest, -1, -1):
+            parents = np.ones(len(n), bool)
+            if level in given:
+                xy, n = np.concatenate([xy, given[level][0]]), np.concatenate([n, given[level][1]])
+                parents = np.concatenate([parents, np.zeros(len(given[level][1]), bool)])
+            numbers = self.number(level, xy)
+            order = np.argsort(numbers)
+            at[level] = numbers[order], n[order], parents[order]
+            if level:
+                up, back = np.unique(xy >> 1, axis=0, return_inverse=True)
+                n, xy = np.bincount(back.ravel(), n, len(up)).astype(np.int64), up
+        kept, keep = [], np.ones(len(at[0][0]), bool)
+        for level in range(deepest + 1):
+            numbers, n, inner = at[level]
+            numbers, n, inner = numbers[keep], n[keep], inner[keep] & (n[keep] > most)
+            kept.append((numbers, n, ~inner))
+            if level < deepest:
+                above = self.number(level, self.split(level + 1, at[level + 1][0]) >> 1)
+                keep = np.isin(above, numbers[inner])
+        self.numbers, self.counts, self.leaf = (np.concatenate(x) for x in zip(*kept))
+        self.total = int(at[0][1].sum())
+
+    def number(self, level, xy: np.ndarray) -> np.ndarray:
+        b = BITS[self.d]
+        out = np.asarray(level, np.int64) << (b * self.d)
         for a in range(self.d):
-            s = s.cumsum(a)
-        self.sums, self.total = s, int(flat.sum())
-        most = max(1.0, self.total * SHARE)
-        self.salts = np.clip(np.ceil(self.counts / most), 1, SPLIT).astype(np.int64)
-
-    def cell(self, p: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor((p - self.low) / self.width), 0, self.side - 1).astype(np.int64)
-
-    def within(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Points in the boxes of cells [lo, hi], by inclusion and exclusion."""
-        total = np.zeros(len(lo), np.int64)
-        for corner in range(1 << self.d):
-            pick = [(hi[:, a] + 1) if corner >> a & 1 else lo[:, a] for a in range(self.d)]
-            total += (1 if (self.d - bin(corner).count("1")) % 2 == 0 else -1) * self.sums[tuple(pick)]
-        return total
-
-    def radius(self, p: np.ndarray, k: int) -> np.ndarray:
-        """For each point a distance within which at least k points lie; infinite if there are fewer."""
-        at, r, open_ = self.cell(p), np.full(len(p), np.inf), np.arange(len(p))
-        m = 0
-        while len(open_) and self.total >= k:
-            lo, hi = np.maximum(at[open_] - m, 0), np.minimum(at[open_] + m, self.side - 1)
-            enough = self.within(lo, hi) >= k
-            q = p[open_[enough]]
-            a = np.abs(q - (self.low + lo[enough] * self.width))
-            b = np.abs(self.low + (hi[enough] + 1) * self.width - q)
-            r[open_[enough]] = np.sqrt((np.maximum(a, b) ** 2).sum(1))
-            open_, m = open_[~enough], m + 1
-        return r
-
-    def met(self, p: np.ndarray, r: float) -> np.ndarray:
-        """The cells, flat, that aren't empty and that the ball meets."""
-        if np.isfinite(r):
-            lo, hi = self.cell(p - r), self.cell(p + r)
-        else:
-            lo, hi = np.zeros(self.d, np.int64), np.full(self.d, self.side - 1)
-        idx = np.argwhere(self.counts[tuple(slice(a, b + 1) for a, b in zip(lo, hi))]) + lo
-        low, high = self.low + idx * self.width, self.low + (idx + 1) * self.width
-        # The outer cells hold what lies beyond the grid by rounding.
-        gap = np.maximum(np.maximum(low - p, p - high), 0)
-        idx = idx[np.sqrt((gap**2).sum(1)) <= r]
-        return np.ravel_multi_index(tuple(idx.T), self.counts.shape) if len(idx) else np.zeros(0, np.int64)
-
-
-def _grid(points: DataFrame, coordinates: list[Column], metric: str) -> tuple[_Cells, Column]:
+            out = out | xy[:, a] << (b * (self.d - 1 - a))
+        return out
+
+    def split(self, level, numbers: np.ndarray) -> np.ndarray:
+        b = BITS[self.d]
+        return np.stack([numbers >> (b * (self.d - 1 - a)) & ((1 << b) - 1) for a in range(self.d)], 1)
+
+    def levels(self) -> list[int]:
+        return sorted({int(x) for x in np.unique(self.numbers[self.leaf] >> (BITS[self.d] * self.d))})
+
+    def met(self, p: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, leaves, radii): the leaves, by place in ``numbers``, that each ball meets. With ``k`` above 0 the radii,
+        infinite at first, are narrowed to what surely holds k points, level by level."""
+        q, node = np.arange(len(p)), np.zeros(len(p), np.int64)
+        r = r.astype(float).copy()
+        if not self.total:
+            return q[:0], node[:0], r
+        while True:
+            level = self.numbers[node] >> (BITS[self.d] * self.d)
+            width = self.size / np.exp2(level)[:, None]
+            low = self.low + self.split(level, self.numbers[node]) * width
+            x = p[q]
+            near = np.sqrt((np.maximum(np.maximum(low - x, x - low - width), 0) ** 2).sum(1))
+            if k:
+                far = np.sqrt((np.maximum(np.abs(x - low), np.abs(low + width - x)) ** 2).sum(1))
+                order = np.lexsort((far, q))
+                held = np.cumsum(self.counts[node[order]])
+                first = np.searchsorted(q[order], np.arange(len(p)))  # every query keeps the node that holds its nearest
+                before = np.concatenate(([0], held))[first][q[order]]
+                enough = np.flatnonzero(held - before >= k)
+                have, at = np.unique(q[order][enough], return_index=True)
+                r[have] = np.minimum(r[have], far[order][enough[at]])
+            keep = near <= r[q] * (1 + ROOM) + ROOM
+            q, node = q[keep], node[keep]
+            done = self.leaf[node]
+            if done.all():
+                return q, node, r
+            inner, owner = node[~done], q[~done]
+            level = (self.numbers[inner] >> (BITS[self.d] * self.d)) + 1
+            xy = self.split(level, self.numbers[inner]) << 1
+            grown_q, grown = [q[done]], [node[done]]
+            for corner in range(1 << self.d):
+                numbers = self.number(level, xy + [corner >> a & 1 for a in range(self.d)])
+                place = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+                there = self.numbers[place] == numbers
+                grown_q.append(owner[there])
+                grown.append(place[there])
+            q, node = np.concatenate(grown_q), np.concatenate(grown)
+
+
+def _number(level: int, coordinates: list[Column], low: np.ndarray, size: np.ndarray) -> Column:
+    """As ``Cells.number`` of the cell that a point lies in."""
+    d, side = len(coordinates), 1 << level
+    out = F.lit(level << (BITS[d] * d)).cast("long")
+    for a, c in enumerate(coordinates):
+        step = F.greatest(F.least(F.floor((c - float(low[a])) / float(size[a] / side)).cast("long"), F.lit(side - 1)), F.lit(0))
+        out = out.bitwiseOR(F.shiftleft(step.cast("long"), BITS[d] * (d - 1 - a)))
+    return out
+
+
+def cells(points: DataFrame, coordinates: list[Column], metric: str) -> Cells:
+    """Count all points: once to FIRST halvings, and those of cells that hold too many again to as many more as the bound on
+    cells allows, until none does or halving ends. What is collected is cells, some 4 * CELLS at most."""
     d = len(coordinates)
-    side = SIDES[d]
     if metric == "planar":
         ends = points.agg(*[f(c) for c in coordinates for f in (F.min, F.max)]).first()
-        low = np.array([ends[2 * i] or 0.0 for i in range(d)])
-        high = np.array([ends[2 * i + 1] or 0.0 for i in range(d)])
+        low, high = (np.array([ends[2 * i + j] or 0.0 for i in range(d)], float) for j in (0, 1))
     else:
         low, high = np.full(d, -1.0), np.full(d, 1.0)
-    width = np.maximum((high - low) / side, 1e-12)
-    cell = F.lit(0).cast("long")
-    for c, a, w in zip(coordinates, low, width):
-        cell = cell * side + F.greatest(F.least(F.floor((c - float(a)) / float(w)), F.lit(side - 1)), F.lit(0))
-    counts = {r[0]: r[1] for r in points.groupBy(cell.alias("c")).count().collect()}  # as many rows as cells at most
-    return _Cells(low, width, side, counts), cell
+    size = np.maximum((high - low) * (1 + 1e-12), 1e-9)
+    level, some, counted, total = FIRST[d], points, [], None
+    while True:
+        got = some.groupBy(_number(level, coordinates, low, size).alias("c")).count().toPandas()
+        numbers, n = got["c"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
+        xy = np.stack([numbers >> (BITS[d] * (d - 1 - a)) & ((1 << BITS[d]) - 1) for a in range(d)], 1)
+        total = int(n.sum()) if total is None else total
+        most = max(POPULATION, 2 * total / CELLS)
+        full = n > most
+        room = next((b for b in range(5, 0, -1) if full.sum() << d * b <= 4 * CELLS and level + b <= DEEPEST[d]), 0)
+        if not full.any() or not room:
+            counted.append((level, xy, n))
+            return Cells(low, size, counted, most)
+        counted.append((level, xy[~full], n[~full]))
+        again = points.sparkSession.createDataFrame(pd.DataFrame({"__c": numbers[full]}))
+        some = points.join(F.broadcast(again), _number(level, coordinates, low, size) == F.col("__c"), "left_semi")
+        level += room
 
 
-def _join(queries: DataFrame, points: DataFrame, metric: str, k: int, reach: Column | None, q: tuple[str, str], p: tuple[str, str], key: str, out: str) -> DataFrame:
-    ship(points.sparkSession)
-    for c in (out, "rank"):
-        if c in queries.columns or c in points.columns:
-            raise ValueError(f"there is a column {c} already")
-    cell, salt, at, r, cells, part, parts = fresh([queries, points], "cell", "salt", "at", "r", "cells", "part", "parts")
-    points = points.filter(col(p[0]).isNotNull() & col(p[1]).isNotNull())
-    queries = queries.filter(col(q[0]).isNotNull() & col(q[1]).isNotNull())
-    grid, number = _grid(points, _coordinates(metric, col(p[0]), col(p[1])), metric)
-    sent = queries.sparkSession.sparkContext.broadcast(grid)
+def _finite(*names: str) -> Column:
+    out = F.lit(True)
+    for n in names:
+        c = col(n).cast("double")
+        out = out & c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return out
 
-    queries = queries.withColumns({at: F.array(*_coordinates(metric, col(q[0]), col(q[1]))), r: F.lit(-1.0) if reach is None else reach.cast("double")})
-    names, given = queries.columns, reach is not None
+
+def asked_cells(queries: DataFrame, grid: Cells, k: int, at: list[str], r: str, cell: str) -> DataFrame:
+    """``queries``, one row a cell that they meet, with ``cell`` and the radius in ``r``; ``r`` below 0 meets none."""
+    sent = queries.sparkSession.sparkContext.broadcast(grid)
+    names = queries.columns
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = sent.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            where = np.stack(pdf[at].to_numpy()).astype(float)
-            radius = pdf[r].to_numpy(float) if given else g.radius(where, k)
-            radius = radius * (1 + ROOM) + ROOM
-            got = []
-            for x, y in zip(where, radius):
-                c = g.met(x, y) if y >= 0 else np.zeros(0, np.int64)
-                n = g.salts.ravel()[c]
-                got.append([{"c": int(a), "s": s} for a, b in zip(c, n) for s in range(int(b))])
-            pdf[r], pdf[cells] = radius, got
-            yield pdf[[*names, cells]]
+            for lo in range(0, len(pdf), 4096):
+                part = pdf.iloc[lo : lo + 4096]
+                radius = np.full(len(part), np.inf) if k else part[r].to_numpy(float)
+                use = np.flatnonzero(radius >= 0)
+                q, leaf, found = g.met(part[at].to_numpy(float)[use], radius[use], k)
+                order = np.argsort(q, kind="stable")
+                out = part.iloc[use[q[order]]].copy()
+                out[r], out[cell] = found[q[order]] * (1 + ROOM) + ROOM, g.numbers[leaf[order]]
+                yield out[[*names, cell]]
+
+    return queries.mapInPandas(spread, queries.withColumn(cell, F.lit(0).cast("long")).schema)
+
+
+def _join(queries: DataFrame, points: DataFrame, metric: str, k: int, reach: Column | None, q: tuple[str, str], p: tuple[str, str], key: str, out: str) -> DataFrame:
+    spark = points.sparkSession
+    ship(spark)
+    for c in (out, "rank"):
+        if c in queries.columns or c in points.columns:
+            raise ValueError(f"there is a column {c} already")
+    both = [queries, points]
+    cell, r, *names = fresh(both, "cell", "r", *(f"{s}{i}" for s in "ab" for i in range(3)))
+    d = 2 if metric == "planar" else 3
+    at, own = names[:d], names[3 : 3 + d]
+    points = points.filter(_finite(*p))
+    queries = queries.filter(_finite(*q))
+    there = _coordinates(metric, col(p[0]), col(p[1]))
+    grid = cells(points, there, metric)
 
+    queries = queries.withColumns({**dict(zip(at, _coordinates(metric, col(q[0]), col(q[1])))), r: F.lit(-1.0) if reach is None else reach.cast("double")})
     # Work on queries is Python's, and far more than moving them: spread over all cores, however few files they come from.
-    queries = queries.repartition(2 * queries.sparkSession.sparkContext.defaultParallelism, *map(col, q))
-    schema = queries.withColumn(cells, F.lit(None).cast("array<struct<c:long,s:int>>")).schema
-    asked = queries.mapInPandas(spread, schema).withColumn(part, F.explode(cells)).drop(cells)
-    asked = asked.withColumns({cell: col(part)["c"], salt: col(part)["s"]}).drop(part)
-
-    split = [(int(c), int(n)) for c, n in enumerate(grid.salts.ravel()) if n > 1]  # 1 / SHARE rows at most
-    placed = points.withColumn(cell, number)
-    if split:
-        hot = points.sparkSession.createDataFrame(split, f"`{cell}` long, `{parts}` int")
-        placed = placed.join(F.broadcast(hot), cell, "left").withColumn(salt, F.pmod(F.xxhash64(col(key)), F.coalesce(col(parts), F.lit(1))).cast("int")).drop(parts)
+    queries = queries.repartition(2 * spark.sparkContext.defaultParallelism, *map(col, q))
+    asked = asked_cells(queries, grid, k, at, r, cell)
+
+    # A point's leaf is at one of the levels that have leaves; the table of leaves, some CELLS at most, tells at which.
+    levels = grid.levels()
+    placed = points.withColumns(dict(zip(own, there)))
+    if len(levels) > 1:
+        leaves = spark.createDataFrame(pd.DataFrame({"__leaf": grid.numbers[grid.leaf]}))
+        tries = F.explode(F.array(*[_number(lv, there, grid.low, grid.size) for lv in levels]))
+        placed = placed.withColumn(cell, tries).join(F.broadcast(leaves), col(cell) == F.col("__leaf"), "left_semi")
+    else:
+        placed = placed.withColumn(cell, _number(levels[0] if levels else 0, there, grid.low, grid.size))
+
+    straight = F.lit(0.0)
+    for a, b in zip(at, own):
+        straight = straight + (col(a) - col(b)) * (col(a) - col(b))
+    if fits(placed):
+        pairs = asked.join(F.broadcast(placed), cell)
     else:
-        placed = placed.withColumn(salt, F.lit(0))
+        asked = written(asked, "asked")
+        most = max(1, grid.total * SHARE)
+        full = {int(c): min(SPLIT, int(-(-n // most))) for c, n in zip(grid.numbers[grid.leaf], grid.counts[grid.leaf]) if n > most}
+        pairs = spread_join(asked, placed, cell, F.struct(*map(col, [*at, *queries.columns[:1]])), col(key), crowded(asked, cell, SHARE), full)
     distance = geo.planar if metric == "planar" else geo.haversine
-    pairs = asked.join(placed, [cell, salt])
-    own = F.array(*_coordinates(metric, col(p[0]), col(p[1])))
-    straight = F.sqrt(F.aggregate(F.zip_with(own, col(at), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = pairs.filter(straight <= col(r)).withColumn(out, distance(col(q[0]), col(q[1]), col(p[0]), col(p[1])))
-    return near.drop(cell, salt, at, r)
+    near = pairs.filter(straight <= col(r) * col(r)).drop(cell, r, *at, *own)
+    return near.withColumn(out, distance(col(q[0]), col(q[1]), col(p[0]), col(p[1])))
 
 
 def nearest_join(

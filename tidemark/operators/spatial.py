@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..plans.skew import col, fits, fresh
+from ..plans.skew import col, crowded, fits, fresh, spread_join
 from .access import KEY
 
 
@@ -71,12 +71,13 @@ def find_within_radius(df: DataFrame, x: float, y: float, meters: float, limit:
     return _limited(found, limit, col(out), col(key))
 
 
-def write_places(df: DataFrame, path: str, cell: float = 1.0, files: int | None = None, lon: str = "lon", lat: str = "lat", mode: str = "overwrite") -> None:
-    """Store places so that boxes prune files and row groups: by ranges of grid cells, and in their order within a file."""
-    cx, cy = fresh(df, "cx", "cy")
-    placed = df.withColumns({cx: _cell(col(lon), cell), cy: _cell(col(lat), cell)})
-    placed = placed.repartitionByRange(files, cx, cy) if files else placed.repartitionByRange(cx, cy)
-    placed.sortWithinPartitions(cx, cy).drop(cx, cy).write.mode(mode).parquet(path)
+def write_places(df: DataFrame, path: str, files: int | None = None, lon: str = "lon", lat: str = "lat", mode: str = "overwrite") -> None:
+    """Store places so that boxes prune files and row groups: by ranges of an order
+    in which near places have near values, and in it within a file."""
+    (z,) = fresh(df, "z")
+    placed = df.withColumn(z, geo.morton(col(lon).cast("double"), col(lat).cast("double")))
+    placed = placed.repartitionByRange(files, z) if files else placed.repartitionByRange(z)
+    placed.sortWithinPartitions(z).drop(z).write.mode(mode).parquet(path)
 
 
 # -- polygons ----------------------------------------------------------------------------------------------------------
@@ -109,25 +110,47 @@ def find_points_in_polygon(df: DataFrame, vertices: list[tuple[float, float]], l
 
 
 # -- joins -------------------------------------------------------------------------------------------------------------
-def _cell(v: Column, size: float) -> Column:
+def _cell(v: Column, size: Column | float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 5.0, lon: str = "lon", lat: str = "lat", polygon: str = "polygon", box: str = "box") -> DataFrame:
+#: Grids that polygons may choose: their cells are 2 ** n degrees wide, n from the first to the second.
+GRIDS = (-16, 16)
+
+
+def _grid_of(b: Column) -> Column:
+    """The grid for a box: its cells are at most as wide as the box, and more than half of that."""
+    wide = F.greatest(b["max_x"] - b["min_x"], b["max_y"] - b["min_y"], F.lit(1e-9))
+    return F.greatest(F.least(F.floor(F.log2(wide)), F.lit(GRIDS[1])), F.lit(GRIDS[0])).cast("int")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, lon: str = "lon", lat: str = "lat", polygon: str = "polygon", box: str = "box") -> DataFrame:
     """Each pair of a point and a polygon that holds it, with the columns of both.
 
-    Polygons are spread over the cells of a grid that their boxes meet; a point lies in one cell, so the join is by equal
-    cell, the exact test follows, and no pair comes twice. Polygons of a checked small size are broadcast. ``cell`` should be
-    near the usual extent of a polygon. A cell crowded with points is split by adaptive execution.
+    A polygon is laid into the cells that its box meets of a grid whose cells are about as wide as the box: nine at most,
+    however large it is. A point lies in one cell of each grid that is in use, of which there are few. The join is by equal
+    cell, the exact test follows, and no pair comes twice. Polygons of a checked small size are broadcast; else cells crowded
+    with points or with polygons are split. ``cell`` sets one width for all; polygons much larger than it then lie in many cells.
     """
-    cx, cy = fresh([points, polygons], "cx", "cy")
+    level, mine, theirs, number, x, y = fresh([points, polygons], "level", "mine", "theirs", "number", "x", "y")
     b = col(box)
-    spread = polygons.filter(~geo.box_empty(b)).withColumn(cx, F.explode(F.sequence(_cell(b["min_x"], cell), _cell(b["max_x"], cell))))
-    spread = spread.withColumn(cy, F.explode(F.sequence(_cell(b["min_y"], cell), _cell(b["max_y"], cell))))
-    placed = _points(points, lon, lat).withColumns({cx: _cell(col(lon), cell), cy: _cell(col(lat), cell)})
-    pairs = placed.join(F.broadcast(spread) if fits(spread) else spread, [cx, cy])
+    used = polygons.filter(~geo.box_empty(b)).withColumn(level, F.lit(0) if cell else _grid_of(b))
+    wide = F.lit(float(cell)) if cell else F.pow(F.lit(2.0), col(level))
+    spread = used.withColumn(x, F.explode(F.sequence(_cell(b["min_x"], wide), _cell(b["max_x"], wide))))
+    spread = spread.withColumn(y, F.explode(F.sequence(_cell(b["min_y"], wide), _cell(b["max_y"], wide))))
+    spread = spread.withColumn(theirs, F.struct(level, x, y)).drop(level, x, y)
+    levels = [r[0] for r in used.select(level).distinct().collect()]  # one a grid
+    width = lambda n: F.lit(float(cell) if cell else 2.0**n)
+    grids = F.array(*[F.struct(F.lit(n).alias(level), _cell(col(lon), width(n)).alias(x), _cell(col(lat), width(n)).alias(y)) for n in levels or [0]])
+    placed = _points(points, lon, lat).withColumn(mine, F.explode(grids))
+    if fits(spread):
+        pairs = placed.join(F.broadcast(spread), col(mine) == col(theirs))
+    else:
+        # Equal cells have equal numbers; the exact comparison sorts out the rest.
+        placed, spread = placed.withColumn(number, F.xxhash64(mine)), spread.withColumn(number, F.xxhash64(theirs))
+        pairs = spread_join(placed, spread, number, F.struct(col(lon), col(lat), F.monotonically_increasing_id()), F.struct(b, col(polygon)), crowded(placed, number), crowded(spread, number)).filter(col(mine) == col(theirs)).drop(number)
     inside = geo.in_box(col(lon), col(lat), b["min_x"], b["min_y"], b["max_x"], b["max_y"]) & geo.in_polygon(col(lon), col(lat), col(polygon))
-    return pairs.filter(inside).drop(cx, cy)
+    return pairs.filter(inside).drop(mine, theirs)
 
 
 def union_box(df: DataFrame, box: str = "box") -> DataFrame:

@@ -78,6 +78,30 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
     return left.join(right, [*on, salt], how).drop(salt)
 
 
+def crowded(df: DataFrame, on: str, share: float = 0.001, least: int = 1000) -> dict:
+    """The values of ``on`` that more than a ``share`` of all rows have (and more than ``least``), and into how many parts, of
+    that size each, they are to be split. No more than 1 / share values."""
+    counts = written(df.groupBy(col(on)).agg(F.count(F.lit(1)).alias("n")), "crowds")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(total * share, least)
+    return {r[0]: min(64, int(-(-r[1] // most))) for r in counts.filter(F.col("n") > most).collect()}
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by_left: Column, by_right: Column, left_parts: dict, right_parts: dict) -> DataFrame:
+    """The inner join on ``on``, values crowded on either side being split: each is a rectangle of parts, rows of ``left``
+    lying in one part by ``by_left`` and in every one of ``right``, and the other way round."""
+    if not left_parts and not right_parts:
+        return left.join(right, on)
+    spark = left.sparkSession
+    a, b, n, m = fresh([left, right], "a", "b", "n", "m")
+    kind = dict(left.dtypes)[on]
+    parts = F.broadcast(spark.createDataFrame([(c, left_parts.get(c, 1), right_parts.get(c, 1)) for c in {*left_parts, *right_parts}], f"`{on}` {kind}, `{n}` int, `{m}` int"))
+    one, every = lambda x: F.coalesce(col(x), F.lit(1)), lambda x: F.explode(F.sequence(F.lit(0), F.coalesce(col(x), F.lit(1)) - 1))
+    left = left.join(parts, on, "left").withColumns({a: F.pmod(F.xxhash64(by_left), one(n)).cast("int"), b: every(m)}).drop(n, m)
+    right = right.join(parts, on, "left").withColumns({a: every(n), b: F.pmod(F.xxhash64(by_right), one(m)).cast("int")}).drop(n, m)
+    return left.join(right, [on, a, b]).drop(a, b)
+
+
 def in_chunks(df: DataFrame, keys: list[str], order: str, size: int) -> tuple[DataFrame, str, str]:
     """``df`` with two columns, whose names come with it: the keys as one struct, in which nulls are equal, and the chunk of
     ``size`` values of ``order`` (a whole number) that a row lies in.
