@@ -3,8 +3,8 @@
 Layout under ``root``:
 
 * ``data/<at>`` the images, appended batch by batch and never rewritten;
-* ``index/<at>/bucket=<b>`` for each image its key, its order and its place (file name, row position), in BUCKETS buckets by
-  a hash of the key;
+* ``index/<at>/bucket=<b>`` for each image its key, its order and its place (file name, row position), in buckets by a hash of
+  the key;
 * ``dv/<at>`` the bits of all files as the batch left them: for each file, words of 64 positions;
 * ``log/<n>.json`` the commit of a batch: its name <at>, and the batches it took the place of. Readers see committed batches
   only; of several writers of one number a single one commits, and a batch that failed is done again under another name.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ..plans.skew import col, fits
 from . import shared
 
-WORD, BUCKETS = 64, 64
+#: Positions of a word, and buckets of the index of a table that isn't given another number.
+WORD, BUCKETS = 64, 16
 FILE, POS, OLD_FILE, OLD_POS, BUCKET = "__file", "__pos", "__old_file", "__old_pos", "bucket"
 
 
@@ -41,10 +42,14 @@ def _words(places: DataFrame, file: str, pos: str) -> DataFrame:
 
 
 class VectorTable:
-    """``keys``: columns that name a row, nulls equal to each other. ``order``: columns of which a greater tuple is newer, nulls first."""
+    """``keys``: columns that name a row, nulls equal to each other. ``order``: columns of which a greater tuple is newer, nulls first.
+    ``buckets``: of the index, fixed by the first batch; thousands for a table of billions of rows, so that a batch of few keys
+    reads little of it."""
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: list[str]):
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: list[str], buckets: int = BUCKETS):
         self.spark, self.root, self.keys, self.order = spark, root, keys, order
+        log = self._log()
+        self.buckets = log[0]["buckets"] if log else buckets
 
     # -- log -----------------------------------------------------------------------------------------------------
     def batches(self) -> list[int]:
@@ -70,7 +75,7 @@ class VectorTable:
         return out
 
     def _claim(self, n: int, at: str, instead: list[str]) -> int:
-        if not shared.create_text(self.spark, f"{self.root}/log/{n:010d}.json", json.dumps({"batch": n, "at": at, "instead": instead})):
+        if not shared.create_text(self.spark, f"{self.root}/log/{n:010d}.json", json.dumps({"batch": n, "at": at, "instead": instead, "buckets": self.buckets})):
             raise RuntimeError(f"another writer committed batch {n}; apply the changes again")
         return n
 
@@ -79,7 +84,7 @@ class VectorTable:
         return F.xxhash64(*[col(k) for k in self.keys])
 
     def _bucket(self) -> Column:
-        return F.pmod(self._hash(), F.lit(BUCKETS)).cast("int")
+        return F.pmod(self._hash(), F.lit(self.buckets)).cast("int")
 
     def reduce(self, changes: DataFrame) -> DataFrame:
         """The newest image of each key; of full ties in the order the greatest other columns."""
@@ -90,7 +95,7 @@ class VectorTable:
         return best.select(*[col(k) for k in self.keys], *[t["o"][c].alias(c) for c in self.order], *[t["r"][c].alias(c) for c in rest])
 
     def touched(self, new: DataFrame) -> list[int]:
-        """The buckets of the index that a batch's keys lie in, BUCKETS at most."""
+        """The buckets of the index that a batch's keys lie in."""
         return sorted(r[0] for r in new.select(self._bucket().alias("b")).distinct().collect())
 
     def stored_places(self, new: DataFrame, held: list[str]) -> DataFrame:
