@@ -90,3 +90,17 @@ def test_fingerprints_stay_inside_their_row():
         own, alone = (pos >= offsets[k]) & (pos < offsets[k + 1]), L.fingerprints(x, np.array([0, len(x)]))
         assert (pos[own] - offsets[k]).tolist() == alone[0].tolist() and h[own].tolist() == alone[1].tolist()
     assert len(pos) < 0.6 * sum(map(len, rows))
+
+
+def test_by_shuffle_with_an_item_that_many_documents_hold(spark, monkeypatch):
+    from tidemark.llm import leakage
+    from tidemark.plans import skew
+
+    monkeypatch.setattr(leakage, "crowded", lambda df, on: skew.crowded(df, on, 0.01, 5))
+    shared = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, f"start{i} {shared if i % 3 else 'nothing'} end{i} " + " ".join(f"d{i}x{j}" for j in range(20))) for i in range(120)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"{shared} own{k} " + " ".join(f"d{k}x{j}" for j in range(14))) for k in range(6)], "item_id long, passage string")
+    want = {(i, k) for i in range(120) for k in range(6) if i % 3 or i == k}
+    for limit in (0, 1 << 30):
+        got = [tuple(r) for r in leakage.leaks(docs, items, limit=limit).collect()]
+        assert len(got) == len(want) and set(got) == want

@@ -93,3 +93,12 @@ def test_large_batches_are_worked_on_in_parts():
 def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, "аbc " * 500_000), (2, "abc " * 500_000), (3, "x")], "doc_id long, text string")
     assert [tuple(r) for r in L.same_looking_pairs(df).collect()] == [(1, 2)]
+
+
+def test_width_forms_numerals_and_mathematical_letters(spark):
+    pairs = [("ｶﾞｯｺｳ", "ガッコウ"), ("Ⅷ", "VIII"), ("ⅳ", "iv"), ("𝐇𝖾llo", "Hello"), ("￥5", "¥5"), ("ＡΒС", "ABC"), ("Ꭺpple", "Apple"), ("ıst", "ist")]
+    f = forms(spark, [x for p in pairs for x in p])
+    assert [p for p, a, b in zip(pairs, f[::2], f[1::2]) if a != b] == []
+    apart = [("𝟓", "5"), ("x²", "x2"), ("ﾊﾟ", "ハ"), ("①", "1"), ("½", "1/2")]
+    f = forms(spark, [x for p in apart for x in p])
+    assert [p for p, a, b in zip(apart, f[::2], f[1::2]) if a == b] == []

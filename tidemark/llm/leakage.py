@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import col
+from ..plans.skew import col, crowded, spread_join
 from ..session import ship
 from ..sources.shared import written
 from . import duck
@@ -143,37 +143,46 @@ def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "doc_id long, item_id long")
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, salts: int = 8) -> DataFrame:
-    """Fingerprints of both sides are joined, the items' repeated over salts so that a frequent one of the documents is
-    met by several tasks; the pairs that share one are then held against each other word by word."""
+def _prints(df: DataFrame, name: str) -> DataFrame:
+    """(name, h): the fingerprints of texts, each once a text."""
 
-    def prints(batches):
+    def each(batches):
         con = duck.connect()
         for b in duck.slices(batches):
             words, offsets = word_lists(con, b, "t")
             pos, h = fingerprints(words, offsets)
             row = np.searchsorted(offsets, pos, side="right") - 1
             both = np.unique(np.stack([row, h.view(np.int64)], 1), axis=0)
-            yield _pairs(b.column(0).to_numpy(zero_copy_only=False)[both[:, 0]], both[:, 1], ("id", "h"))
+            yield _pairs(b.column(0).to_numpy(zero_copy_only=False)[both[:, 0]], both[:, 1], (name, "h"))
 
-    def verify(batches):
-        import pyarrow as pa
+    return df.mapInArrow(each, f"{name} long, h long")
 
-        con = duck.connect()
-        for b in duck.slices(batches):
-            words, offsets = word_lists(con, b, "t")
-            theirs, bounds = word_lists(con, b, "u")
-            ok = []
-            for r in range(b.num_rows):
-                w, v = words[offsets[r] : offsets[r + 1]], theirs[bounds[r] : bounds[r + 1]]
-                ok.append(len(Items(np.zeros(1), v, np.array([0, len(v)])).leaks(w, np.array([0, len(w)]))) > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "item_id"]).filter(pa.array(ok, pa.bool_()))
-
-    left = docs.mapInArrow(prints, "id long, h long").select(F.col("id").alias("doc_id"), "h", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    right = items.mapInArrow(prints, "id long, h long").select(F.col("id").alias("item_id"), "h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    hits = written(left.join(right, ["h", "salt"]).select("doc_id", "item_id").distinct(), "hits")
-    texts = hits.join(docs.withColumnRenamed("id", "doc_id"), "doc_id").join(items.select(F.col("id").alias("item_id"), F.col("t").alias("u")), "item_id")
-    return texts.select("doc_id", "item_id", "t", "u").mapInArrow(verify, "doc_id long, item_id long")
+
+def _verified(batches):
+    """Extend all hits of a batch at once: its documents against the items that any of them may hold."""
+    import pyarrow as pa
+
+    con = duck.connect()
+    for b in duck.slices(batches):
+        held = b.column(2).flatten()
+        ids, first = np.unique(held.field(0).to_numpy(zero_copy_only=False), return_index=True)
+        texts = pa.RecordBatch.from_arrays([held.field(1).take(pa.array(first))], ["t"])
+        found = Items(ids, *word_lists(con, texts, "t"))
+        p = found.leaks(*word_lists(con, b, "t"))
+        yield _pairs(b.column(0).to_numpy(zero_copy_only=False)[p[:, 0]], ids[p[:, 1]], ("doc_id", "item_id"))
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Fingerprints of both sides are joined, those that many texts share being split; the items that a document shares one
+    with are brought to it, each document's text being moved once, and extended word by word."""
+    left, right = written(_prints(docs, "doc_id"), "prints"), written(_prints(items, "item_id"), "prints")
+    shared = spread_join(left, right, "h", F.col("doc_id"), F.col("item_id"), crowded(left, "h"), crowded(right, "h"))
+    hits = written(shared.select("doc_id", "item_id").distinct(), "hits")
+    theirs = items.select(F.col("id").alias("item_id"), F.col("t").alias("u"))
+    brought = spread_join(hits, theirs, "item_id", F.col("doc_id"), F.lit(0), crowded(hits, "item_id"), {})
+    per = brought.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "u")).alias("items"))
+    texts = docs.withColumnRenamed("id", "doc_id").join(per, "doc_id")
+    return texts.select("doc_id", "t", "items").mapInArrow(_verified, "doc_id long, item_id long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", limit: int = BROADCAST_CHARS) -> DataFrame:

@@ -28,8 +28,12 @@ LOOKALIKES = {
     # Greek
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
     "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    # Armenian, phonetic
-    "օ": "o", "ɡ": "g",
+    "α": "a", "ι": "i", "κ": "k", "τ": "t",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Armenian, phonetic, dotless
+    "օ": "o", "ɡ": "g", "ı": "i",
 }
 #: Characters without any width or mark of their own.
 INVISIBLE = "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e007f]"
@@ -37,8 +41,11 @@ INVISIBLE = "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u20
 SPACES = "[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 #: Characters between which a joiner is part of one picture and stays.
 PICTURE = "[\u2600-\u27bf\ufe0f\U0001f000-\U0001faff]"
-#: Full-width signs outside the run that follows ASCII.
-WIDE_SIGNS = {"￠": "¢", "￡": "£", "￢": "¬", "￣": "¯", "￤": "¦", "￥": "¥", "￦": "₩"}
+#: Fixed value: a full-width sign whose form is no single usual character in the standard.
+WIDE_SIGNS = {"￣": "¯"}
+#: The blocks whose compatibility forms look like the usual letters: Roman numerals, width forms, mathematical
+#: letters.
+COMPATIBLE = ((0x2160, 0x2180), (0xFF01, 0xFFEF), (0x1D400, 0x1D7CE))
 JOINER, KEPT = "\u200d", "\ue2d0"  # the second stands for the first while invisible characters are dropped
 
 
@@ -52,18 +59,32 @@ def _composed(letters: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def _compatible() -> dict[str, str]:
+    """Width forms, Roman numerals and mathematical letters, by the standard's own decompositions. Digits drawn at
+    another height aren't in these blocks; mathematical digits and signs stay."""
+    out = {}
+    for lo, hi in COMPATIBLE:
+        for c in map(chr, range(lo, hi)):
+            form = unicodedata.normalize("NFKC", c)
+            if form != c and unicodedata.decomposition(c) and (lo != 0x1D400 or form.isalpha()) and not set(form) & set(" \u1160\u115f"):
+                out[c] = form
+    return out | WIDE_SIGNS
+
+
 def table() -> dict[str, str]:
-    """Character to character or short string: look-alikes, with their accented letters, and full-width characters."""
-    wide = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | WIDE_SIGNS
-    return _composed(LOOKALIKES) | wide
+    """Character to character or short string: look-alikes, with their accented letters, and compatibility forms, which may
+    be of look-alikes themselves."""
+    letters = _composed(LOOKALIKES)
+    return letters | {k: "".join(letters.get(c, c) for c in v) for k, v in _compatible().items()}
 
 
 def caseless_table() -> dict[str, str]:
-    """As ``table``, to lower case, and closed under case: a letter whose capital is a look-alike follows its capital."""
+    """As ``table``, to lower case, and closed under case: a letter whose capital is a look-alike follows its capital, since
+    texts that are compared without regard to case may be written in capitals on either side."""
     letters = {k: v.lower() for k, v in LOOKALIKES.items()}
-    letters |= {k.lower(): v.lower() for k, v in LOOKALIKES.items() if k.isupper()}
-    wide = {chr(c + 0xFEE0): chr(c).lower() for c in range(0x21, 0x7F)} | WIDE_SIGNS
-    return _composed(letters) | wide
+    letters |= {k.lower(): v.lower() for k, v in LOOKALIKES.items() if k.isupper() and k.lower() not in letters}
+    letters = _composed(letters)
+    return letters | {k: "".join(letters.get(c, c).lower() for c in v) for k, v in _compatible().items()}
 
 
 def text_literal(s: str) -> str:
@@ -80,9 +101,12 @@ def form_sql(c: str, letters: dict[str, str] | None = None) -> str:
         x = f"regexp_replace({x}, {text_literal(joined)}, {text_literal(r'\1' + KEPT + r'\2')}, 'g')"
     x = f"regexp_replace({x}, {text_literal(INVISIBLE)}, '', 'g')"
     x = f"nfc_normalize(regexp_replace({x}, {text_literal(SPACES)}, ' ', 'g'))"
-    for k, v in letters.items():
-        if len(v) > 1:
-            x = f"replace({x}, {text_literal(k)}, {text_literal(v)})"
+    several = {k: v for k, v in letters.items() if len(v) > 1}
+    if several:  # rare, so a text is looked through for all of them first
+        y = "v"
+        for k, v in several.items():
+            y = f"replace({y}, {text_literal(k)}, {text_literal(v)})"
+        x = f"list_transform([{x}], lambda v: CASE WHEN regexp_matches(v, {text_literal('[' + ''.join(several) + ']')}) THEN {y} ELSE v END)[1]"
     x = f"translate({x}, {text_literal(''.join(one) + KEPT)}, {text_literal(''.join(one.values()) + JOINER)})"
     return f"nfc_normalize({x})"
 

@@ -22,6 +22,13 @@ def p6_roundtrip(spark, d):
     return docs.join(back, "doc_id").select("doc_id", (F.encode("text", "utf-8") == F.col("bytes")).alias("same"))
 
 
+def p6_method(spark, d):
+    """Whether small chunks, which cut every text but the shortest, give the ids of p6_ids."""
+    docs = _t(spark, d, "documents")
+    small = tokenise.encode(docs, chunk=256, overlap=96).withColumnRenamed("ids", "small")
+    return tokenise.encode(docs).join(small, "doc_id").select("doc_id", (F.col("ids") == F.col("small")).alias("same"))
+
+
 def p7_found(spark, d):
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
@@ -44,12 +51,21 @@ def p8_classes(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_found, p7_shuffled, p8_found, p8_form, p8_classes)}
+    return {f.__name__: f for f in (p6_ids, p6_method, p6_roundtrip, p7_found, p7_shuffled, p8_found, p8_form, p8_classes)}
 
 
 def oracle_sql() -> dict:
     form = lookalike.form_sql("text")
+    words = lambda t: f"regexp_extract_all(lower({lookalike.form_sql(t, lookalike.caseless_table())}), '[\\p{{L}}\\p{{N}}]+')"
+    # All runs of twelve words, held against each other as they are.
+    spans = f"""WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents WHERE length(text) > 0), e AS (SELECT item_id, {words("passage")} AS w FROM eval_items),
+      ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM d),
+      es AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS s FROM e)
+      SELECT DISTINCT doc_id, item_id FROM ds JOIN es ON ds.s = es.s"""
     return {
+        "p6_method": "SELECT doc_id, true AS same FROM documents",
+        "p7_found": spans,
+        "p7_shuffled": spans,
         "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
         "p8_found": f"""WITH f AS (SELECT doc_id, text, {form} AS form FROM documents WHERE length(text) > 0)
           SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",

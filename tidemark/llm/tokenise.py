@@ -95,6 +95,25 @@ def _whole(path: str):
     return each
 
 
+def _cut(chunk: int, overlap: int):
+    """The chunks of long texts, some at a time; work grows with the text's length."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        names = ["id", "same", "k", "m", "text"]
+        for b in slices(batches):
+            for row, (same, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                m = -(-(len(text) - overlap) // chunk)
+                for lo in range(0, m, 256):
+                    ks = range(lo, min(lo + 256, m))
+                    parts = [text[k * chunk : len(text) if k == m - 1 else (k + 1) * chunk + overlap] for k in ks]
+                    n = len(parts)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([row] * n)), pa.array([same] * n, pa.int64()), pa.array(ks, pa.int32()), pa.array([m] * n, pa.int32()), pa.array(parts, pa.string())], names)
+
+    return each
+
+
 def _chunks(chunk: int, overlap: int, path: str):
     def each(batches):
         import pyarrow as pa
@@ -126,10 +145,8 @@ def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: st
     out = f"id {kind}, ids array<int>"
     short = rows.filter(~long).mapInArrow(_whole(path), out)
 
-    cut = rows.filter(long).withColumns({"same": F.xxhash64("text"), "m": F.expr(f"cast((length(text) - {overlap} + {chunk - 1}) div {chunk} as int)")})
-    cut = cut.select("id", "same", F.posexplode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k", "k2"), "m", "text").drop("k2")
-    size = F.when(F.col("k") == F.col("m") - 1, F.length("text")).otherwise(F.lit(chunk + overlap))
-    cut = cut.withColumn("text", F.substring("text", F.col("k") * chunk + 1, size)).repartition("id", "same", "k")
+    cut = rows.filter(long).withColumn("same", F.xxhash64("text")).select("id", "same", "text")
+    cut = cut.mapInArrow(_cut(chunk, overlap), f"id {kind}, same long, k int, m int, text string").repartition("id", "same", "k")
     done = cut.mapInArrow(_chunks(chunk, overlap, path), f"id {kind}, same long, k int, m int, ids array<int>, meet int, places array<int>, counts array<int>")
     # A text's chunks come together here, as its ids do in the result: one row's worth.
     parts = done.groupBy("id", "same").agg(
