@@ -129,3 +129,33 @@ def test_separation_without_days_or_info(spark):
     blocks = spark.createDataFrame([(s, q, q * 60_000, v, v) for s in "abc" for q, v in enumerate(values)], "series_id string, block_seq long, start_ts long, min_val double, max_val double")
     info = spark.createDataFrame([("a", 60_000, 0, 12_000_000), ("b", 0, 0, 12_000_000)], "series_id string, period_ms long, active_from long, active_to long")
     assert sorted(tuple(x) for x in spikes.separated(info, blocks).collect()) == [("a", 77), ("b", 77), ("c", 77)]
+
+
+def test_level_and_spread_are_exact_for_a_million_values_in_one_series(spark):
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    x = F.expr("case when id % 3 = 0 then 20.5 when id % 7 = 0 then cast(null as double) when id % 1001 = 1 then double('NaN') else 20 + sqrt(rand(3)) * 100 * (id % 2 - 0.4) end")
+    b = written(spark.range(n).select(F.when(F.col("id") % 50 == 0, "short").otherwise("long").alias("series_id"), F.col("id").alias("block_seq"), x.alias("min_val"), F.expr("rand(4) * rand(5) * 1e6").alias("max_val")), "t")
+    b = b.filter("series_id = 'long' or block_seq < 90000")
+    got = {r.series_id: r for r in spikes.usual_values(b).collect()}
+    for name, part in b.toPandas().groupby("series_id"):
+        for i, f in enumerate(spikes.FIELDS):
+            v = np.sort(part[f].to_numpy()[np.isfinite(part[f].to_numpy())])
+            level = v[(len(v) - 1) // 2]
+            off = np.sort(np.abs(v - level))
+            assert (got[name][f"level{i}"], got[name][f"spread{i}"]) == (level, spikes.NORMAL * off[(len(off) - 1) // 2])
+
+
+@pytest.mark.parametrize("few", [5, 200])
+def test_exact_middle_with_ties_and_groups_of_all_sizes(spark, few):
+    r = random.Random(few)
+    data = [("one", 1, 4.0), ("none", 1, None), (None, 1, 2.0), (None, 1, 9.0)]
+    data += [("ties", 1, r.choice([1.0, 2.0, 2.0, 2.0, 3.0])) for _ in range(700)] + [("atom", 2, 5.0 if i % 2 else -float(i)) for i in range(999)] + [("wide", 2, r.gauss(0, 1e6)) for _ in range(3000)]
+    r.shuffle(data)
+    got = {(x.g, x.h): x.mid for x in spikes.exact_middle(spark.createDataFrame(data, "g string, h int, x double").filter("g is not null"), ["g", "h"], few).collect()}
+    want = {}
+    for g, h, x in data:
+        if g is not None and x is not None:
+            want.setdefault((g, h), []).append(x)
+    assert got == {k: sorted(v)[(len(v) - 1) // 2] for k, v in want.items()}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import lookup_join
+from ..plans.skew import col, lookup_join
 from ..session import ship
 from ..sources.shared import written
 
@@ -18,8 +18,9 @@ FIELDS = ("min_val", "max_val")
 FAR, RUN = 10.0, 8
 #: Blocks by block_seq in one chunk, places in one matrix; the unit in which a series of any length is spread over tasks.
 CHUNK = 4096
-#: Greatest relative rank error of level and spread is 1 / ACCURACY; below that many values they are exact.
-ACCURACY = 5000
+#: A sketch's rank is off by one ACCURACY-th of the values at most, so by none up to EXACT of them (less than half of it). Of
+#: longer series medians are searched for; FEW values are put in order by one task.
+ACCURACY, EXACT, FEW = 5000, 2000, 100_000
 #: Makes the median absolute deviation of normal values equal to their standard deviation.
 NORMAL = 1.4826
 DAY_MS = 86_400_000
@@ -53,14 +54,74 @@ def robust_pca(m: np.ndarray, rounds: int = 40, tol: float = 1e-5) -> tuple[np.n
     return low, m - low
 
 
-def usual_values(b: DataFrame) -> DataFrame:
-    """(series_id, level0, level1, spread0, spread1): median and NORMAL times median absolute deviation of each field's finite values."""
+def exact_middle(rows: DataFrame, keys: list[str], few: int = FEW) -> DataFrame:
+    """(keys, mid): the lower median of ``x`` in each group, however many values it has; nulls have no place in it.
+
+    Sketches give two values between which the median surely lies, with counts of what lies below them. Either it is one of
+    the two, or the values strictly between are searched again, some thousandth of the group, until there are ``few`` of them;
+    those are put in order. So no task orders more than ``few`` values, and a value that half of the group has ends the search.
+    """
+    c, found = F.col, []
+    names = [f"__k{i}" for i in range(len(keys))]
+    left = rows.select(*[col(k).alias(n) for k, n in zip(keys, names)], "x").filter("x is not null")
+    wanted = left.groupBy(*names).agg(F.count("x").alias("n")).withColumn("t", F.expr("(n + 1) div 2"))
+    while True:
+        wanted = written(wanted, "ranks")
+        most = wanted.agg(F.max("n")).first()[0] or 0
+        if most <= few:
+            at = F.row_number().over(Window.partitionBy(*names).orderBy("x"))
+            last = lookup_join(left, wanted, names, c("x")).withColumn("at", at).filter("at = t").select(*names, c("x").alias("mid"))
+            out = last
+            for f in found:
+                out = out.unionAll(f)
+            return out.withColumnsRenamed(dict(zip(names, keys)))
+        sketch = F.percentile_approx("x", F.array(*[F.lit(i / 1000) for i in range(1001)]), ACCURACY)
+        ends = written(left.groupBy(*names).agg(sketch.alias("q"), F.min("x").alias("least"), F.max("x").alias("most")).join(wanted, names), "ends")
+        # A sketch is off by n / ACCURACY ranks at most; its thousandths on both sides of the rank, one farther, hold it. At
+        # the ends of the group they are its least and greatest value.
+        p = F.floor(c("t") / c("n") * 1000).cast("int")
+        lo, hi = F.when(p < 2, c("least")).otherwise(F.get("q", p - 2)), F.when(p > 997, c("most")).otherwise(F.get("q", p + 3))
+        ends = written(ends.select(*names, "t", lo.alias("lo"), hi.alias("hi")), "brackets")
+        x = lookup_join(left, ends, names, c("x"))
+        n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+        counts = x.groupBy(*names, "t", "lo", "hi").agg(n(c("x") < c("lo")).alias("a"), n(c("x") == c("lo")).alias("b"), n((c("x") > c("lo")) & (c("x") < c("hi"))).alias("i"), n(c("x") == c("hi")).alias("h"))
+        counts = written(counts, "counts")
+        first, second = c("t") <= c("a") + c("b"), c("t") > c("a") + c("b") + c("i")
+        found.append(counts.filter(first | second).select(*names, F.when(first, c("lo")).otherwise(c("hi")).alias("mid")))
+        inside = counts.filter(~first & ~second)
+        wanted = inside.select(*names, c("i").alias("n"), (c("t") - c("a") - c("b")).alias("t"))
+        bounds = written(inside.select(*names, "lo", "hi"), "bounds")
+        left = written(lookup_join(left, bounds, names, c("x")).filter((c("x") > c("lo")) & (c("x") < c("hi"))).select(*names, "x"), "between")
+
+
+def usual_values(b: DataFrame, exact: int = EXACT) -> DataFrame:
+    """(series_id, level0, level1, spread0, spread1): median and NORMAL times median absolute deviation of each field's finite
+    values. Of series with up to ``exact`` values the sketches that give them are exact; the others' are searched for."""
     c = F.col
+    value = [F.when(_finite(c(f)), c(f)) for f in FIELDS]
     mid = lambda v: F.percentile_approx(v, 0.5, ACCURACY)
-    level = written(b.groupBy("series_id").agg(*[mid(F.when(_finite(c(f)), c(f))).alias(f"level{i}") for i, f in enumerate(FIELDS)]), "levels")
+    level = written(b.groupBy("series_id").agg(*[mid(v).alias(f"level{i}") for i, v in enumerate(value)], F.count(F.lit(1)).alias("blocks")), "levels")
+    long = written(level.filter(c("blocks") > exact).select("series_id"), "long-series")
+    some = long.limit(1).count() > 0
+
+    def searched(usual: DataFrame, name: str, x: list[Column], of: DataFrame) -> DataFrame:
+        """``usual`` with the columns of long series replaced by exact ones."""
+        mine = lookup_join(of, long, ["series_id"], c("block_seq"))
+        rows = mine.select("series_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("x")) for i, v in enumerate(x)])).alias("s")).select("series_id", "s.i", "s.x")
+        got = exact_middle(rows, ["series_id", "i"]).groupBy("series_id").pivot("i", list(range(len(FIELDS)))).agg(F.first("mid"))
+        got = got.select("series_id", *[c(str(i)).alias(f"_{name}{i}") for i in range(len(FIELDS))])
+        both = usual.join(long.select(c("series_id").alias("_long")), c("series_id") == c("_long"), "left").join(got, "series_id", "left")
+        return both.withColumns({f"{name}{i}": F.when(c("_long").isNotNull(), c(f"_{name}{i}")).otherwise(c(f"{name}{i}")) for i in range(len(FIELDS))}).drop("_long", *[f"_{name}{i}" for i in range(len(FIELDS))])
+
+    if some:
+        level = written(searched(level, "level", value, b), "levels")
     off = lookup_join(b, level, ["series_id"], c("block_seq"))
-    spread = off.groupBy("series_id").agg(*[(NORMAL * mid(F.when(_finite(c(f)), F.abs(c(f) - c(f"level{i}"))))).alias(f"spread{i}") for i, f in enumerate(FIELDS)])
-    return level.join(spread, "series_id")
+    away = [F.abs(v - c(f"level{i}")) for i, v in enumerate(value)]
+    spread = off.groupBy("series_id").agg(*[mid(v).alias(f"spread{i}") for i, v in enumerate(away)])
+    if some:
+        spread = searched(spread, "spread", away, off)
+    spread = spread.select("series_id", *[(NORMAL * c(f"spread{i}")).alias(f"spread{i}") for i in range(len(FIELDS))])
+    return level.drop("blocks").join(spread, "series_id")
 
 
 def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -74,8 +135,8 @@ def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataF
     blocks without a series_id or block_seq are left out.
 
     These are plain rules; ``separated`` is the verdict of robust principal components. A series is cut by block_seq into
-    chunks, in which runs are found and joined over their ends. Level and spread come from mergeable sketches, so no task
-    holds more than a chunk of any series.
+    chunks, in which runs are found and joined over their ends. Level and spread come from mergeable sketches and, where these
+    would not be exact, from a search, so no task holds more than a chunk of any series.
     """
     c = F.col
     b = blocks.filter(c("series_id").isNotNull() & c("block_seq").isNotNull()).groupBy("series_id", "block_seq").agg(*[F.max(f).alias(f) for f in FIELDS])

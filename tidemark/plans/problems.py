@@ -75,7 +75,7 @@ def p5_method(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_once, p2_found, p2_replayed, p3_found, p3_grid, p4_found, p4_state, p5_found, p5_flags, p5_method)}
+    return {f.__name__: f for f in (p1_found, p1_once, p2_found, p2_replayed, p3_found, p3_grid, p4_found, p4_state, p5_method, p5_found, p5_flags)}
 
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
