@@ -91,9 +91,9 @@ heads AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY collection,
 _GRID = """
 periods AS (SELECT series_id, active_from AS f, period_ms AS p, active_to AS t, unnest(range(0, (active_to - active_from + period_ms - 1) // period_ms)) AS slot
   FROM series_info WHERE period_ms > 0 AND active_to > active_from),
-placed AS (SELECT b.series_id, block_seq, (start_ts - active_from) // period_ms AS slot, max(sample_count) AS n, min(min_val) AS lo, max(max_val) AS hi
+placed AS (SELECT b.series_id, block_seq, (start_ts - active_from) // period_ms AS slot, max(sample_count) AS n, min(CASE WHEN NOT isnan(min_val) THEN min_val END) AS lo, max(CASE WHEN NOT isnan(max_val) THEN max_val END) AS hi
   FROM blocks b JOIN series_info i ON b.series_id = i.series_id
-  WHERE sample_count > 0 AND start_ts >= active_from AND start_ts < active_to {only} GROUP BY ALL),
+  WHERE sample_count > 0 AND start_ts >= active_from AND start_ts < active_to GROUP BY ALL),
 seen AS (SELECT series_id, slot, sum(n) AS n, min(lo) AS lo, max(hi) AS hi FROM placed GROUP BY ALL)"""
 
 _FLAGS = """
@@ -123,9 +123,9 @@ def oracle_sql() -> dict:
           SELECT h.collection, h.doc_id FROM heads h LEFT JOIN last l ON h.collection = l.collection AND h.doc_id = l.doc_id
           WHERE l.run_id IS NULL OR l.version <> h.version OR {_ID.format("l.change_id")} <> coalesce(h.change_id, '')""",
         "p2_replayed": f"WITH {_HEADS} SELECT collection, doc_id, op, version, change_id FROM heads",
-        "p3_found": f"""WITH {_GRID.format(only="")} SELECT p.series_id, f + slot * p AS slot_ms FROM periods p
+        "p3_found": f"""WITH {_GRID} SELECT p.series_id, f + slot * p AS slot_ms FROM periods p
           WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.series_id = p.series_id AND s.slot = p.slot)""",
-        "p3_grid": f"""WITH {_GRID.format(only="AND NOT isnan(coalesce(min_val, 0)) AND NOT isnan(coalesce(max_val, 0))")},
+        "p3_grid": f"""WITH {_GRID},
           back AS (SELECT p.series_id, p.slot, f + p.slot * p AS slot_ms, s.n, max(s.slot) OVER (PARTITION BY p.series_id ORDER BY p.slot) AS src
             FROM periods p LEFT JOIN seen s ON s.series_id = p.series_id AND s.slot = p.slot)
           SELECT b.series_id, slot_ms, CAST(coalesce(b.n, 0) AS BIGINT) AS samples, s.lo AS low, s.hi AS high,
