@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import carry, col, in_chunks
+from ..plans.skew import by_heat, carry, col, in_chunks
 from ..sources import shared
 from ..streaming.capture import latest_by
 
@@ -63,11 +63,18 @@ def with_versions(log: DataFrame, keys: list[str] = KEYS, chunk: int = CHUNK) ->
     has one more too, and the count begins again after it. Documents of any number of changes are worked on by chunks of
     seq, with the puts since the last delete carried over.
     """
+    return by_heat(log, keys, chunk, lambda rows, hot: _with_versions(rows, keys, chunk, hot))
+
+
+def _with_versions(log: DataFrame, keys: list[str], chunk: int, hot: bool) -> DataFrame:
     c = F.col
-    rows, key, chunk_ = in_chunks(log, keys, "seq", chunk)
+    rows, key, chunk_ = in_chunks(log, keys, "seq", chunk, hot)
     rows = rows.withColumn("_del", (c("op") == "delete").cast("int"))
     rows = rows.withColumn("_epoch", F.sum("_del").over(Window.partitionBy(key, chunk_).orderBy("seq")) - c("_del"))
     rows = rows.withColumn("_puts", F.sum(1 - c("_del")).over(Window.partitionBy(key, chunk_, "_epoch").orderBy("seq")) - (1 - c("_del")))
+    if not hot:
+        rows = rows.withColumn("version", (c("_puts") + 1).cast("long")).filter((c("_del") == 0) | (c("_puts") > 0))
+        return rows.drop(key, chunk_, "_del", "_epoch", "_puts")
     # Of each chunk: whether it has a delete, and the puts since its last.
     s = rows.groupBy(key, chunk_).agg(F.max("_del").alias("d"), F.max_by(F.when(c("_del") == 1, 0).otherwise(c("_puts") + 1), "seq").alias("tail"))
     order = Window.partitionBy(key).orderBy(chunk_)

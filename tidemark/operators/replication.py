@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import hlc_order
-from ..plans.skew import carried, col, in_chunks
+from ..plans.skew import by_heat, carried, col, in_chunks
 from ..sources import shared
 from ..streaming.capture import latest_by
 
@@ -39,15 +39,20 @@ def trace(local: DataFrame, incoming: DataFrame, pos: str = "batch_pos", chunk:
     """
     c = F.col
     start = local.select(*KEYS, "change_id", "hlc").withColumns({pos: F.lit(-1).cast("long"), "_new": F.lit(False)})
-    rows = incoming.withColumn("_new", F.lit(True)).unionByName(start, allowMissingColumns=True)
-    rows, key, chunk_ = in_chunks(rows.withColumn("_h", hlc_order(c("hlc"))), KEYS, pos, chunk)
+    both = incoming.withColumn("_new", F.lit(True)).unionByName(start, allowMissingColumns=True).withColumn("_h", hlc_order(c("hlc")))
+    return by_heat(both, KEYS, chunk, lambda rows, hot: _traced(rows, pos, chunk, hot))
+
+
+def _traced(rows: DataFrame, pos: str, chunk: int, hot: bool) -> DataFrame:
+    c = F.col
+    rows, key, chunk_ = in_chunks(rows, KEYS, pos, chunk, hot)
     earlier = Window.partitionBy(key, chunk_).orderBy(col(pos)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = carried(rows, key, chunk_, F.max("_h"), "_before", "max")
+    rows = carried(rows, key, chunk_, F.max("_h"), "_before", "max", hot)
     inside = F.max("_h").over(earlier)
     rows = rows.withColumn("_top", F.when(inside.isNull(), c("_before")).when(c("_before").isNull() | (inside > c("_before")), inside).otherwise(c("_before")))
     rows = rows.withColumn("_cand", c("_top").isNull() | (c("_h") >= c("_top")))
     rows = rows.withColumn("_cid", F.when(c("_cand"), F.struct(c("change_id").alias("id"))))
-    rows = carried(rows, key, chunk_, F.max_by("_cid", F.when(c("_cand"), col(pos))), "_last")
+    rows = carried(rows, key, chunk_, F.max_by("_cid", F.when(c("_cand"), col(pos))), "_last", hot=hot)
     last = F.coalesce(F.last("_cid", ignorenulls=True).over(earlier), c("_last"))
     rows = rows.withColumn("accepted", c("_cand") & (last.isNull() | ~c("_cid").eqNullSafe(last)))
     return rows.filter("_new").drop("_new", key, chunk_, "_h", "_before", "_top", "_cand", "_cid", "_last")
@@ -93,13 +98,17 @@ def load_cursors(spark: SparkSession, path: str) -> DataFrame:
 def tick(rows: DataFrame, now: str, order: str, node: str, chunk: int = CHUNK) -> DataFrame:
     """``rows`` with ``hlc`` as one node's clock gives it: the wall is the greatest time so far, the counter the number of
     changes since the wall last grew, less one. ``order`` is a whole number, unique; rows are worked on by chunks of it."""
+    return by_heat(rows, [], chunk, lambda part, hot: _ticked(part, now, order, node, chunk, hot))
+
+
+def _ticked(rows: DataFrame, now: str, order: str, node: str, chunk: int, hot: bool) -> DataFrame:
     c = F.col
-    rows, key, chunk_ = in_chunks(rows, [], order, chunk)
-    rows = carried(rows, key, chunk_, F.max(col(now)), "_top", "max")
+    rows, key, chunk_ = in_chunks(rows, [], order, chunk, hot)
+    rows = carried(rows, key, chunk_, F.max(col(now)), "_top", "max", hot)
     here = Window.partitionBy(key, chunk_).orderBy(col(order)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_wall", F.greatest(F.max(col(now)).over(here), c("_top")))
     rows = rows.withColumn("_same", F.struct("_wall"))
-    rows = carried(rows, "_same", chunk_, F.count(F.lit(1)), "_earlier", "sum")
+    rows = carried(rows, "_same", chunk_, F.count(F.lit(1)), "_earlier", "sum", hot)
     n = F.row_number().over(Window.partitionBy("_same", chunk_).orderBy(col(order))) - 1 + F.coalesce("_earlier", F.lit(0))
     clock = F.struct(c("_wall").cast("long").alias("wall"), n.cast("long").alias("counter"), F.lit(node).alias("node"))
     return rows.withColumn("hlc", clock).drop(key, chunk_, "_top", "_wall", "_same", "_earlier")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import carried, carry, in_chunks
+from ..plans.skew import by_heat, carried, carry, in_chunks
 
 #: Samples of a block, and the span of append_seq in which ordered work is done at a time.
 BLOCK, CHUNK = 4096, 1 << 16
@@ -61,13 +61,19 @@ def with_blocks(df: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFr
 
     Long series are worked on chunk by chunk of append_seq, with the segment and its length carried over.
     """
+    return by_heat(df, KEY, chunk, lambda rows, hot: _with_blocks(rows, block, chunk, hot))
+
+
+def _with_blocks(df: DataFrame, block: int, chunk: int, hot: bool) -> DataFrame:
     c = F.col
-    rows, key, chunk_ = in_chunks(df, KEY, "append_seq", chunk)
+    rows, key, chunk_ = in_chunks(df, KEY, "append_seq", chunk, hot)
     here = Window.partitionBy(key, chunk_).orderBy("append_seq")
-    rows = carried(rows, key, chunk_, F.max_by("ts_ms", "append_seq"), "_prev_ts")
+    rows = carried(rows, key, chunk_, F.max_by("ts_ms", "append_seq"), "_prev_ts", hot=hot)
     prev = F.coalesce(F.lag("ts_ms").over(here), c("_prev_ts"))
     rows = rows.withColumn("_back", F.coalesce((c("ts_ms") < prev).cast("int"), F.lit(0))).withColumn("_seg", F.sum("_back").over(here))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, chunk_, "_seg").orderBy("append_seq")))
+    if not hot:
+        return rows.withColumns({"seg": c("_seg"), "part": F.floor((c("_at") - 1) / block)}).drop(key, chunk_, "_prev_ts", "_back", "_seg", "_at")
     # Of each chunk: its breaks, and the samples since the last of them, which are in the segment that stays open.
     s = rows.groupBy(key, chunk_).agg(F.max("_seg").alias("breaks"), F.max_by("_at", "append_seq").alias("n"))
     order = Window.partitionBy(key).orderBy(chunk_)

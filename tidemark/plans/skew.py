@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,17 +104,33 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, by_left: Column, by_
     return left.join(right, [on, a, b]).drop(a, b)
 
 
-def in_chunks(df: DataFrame, keys: list[str], order: str, size: int) -> tuple[DataFrame, str, str]:
-    """``df`` with two columns, whose names come with it: the keys as one struct, in which nulls are equal, and the chunk of
-    ``size`` values of ``order`` (a whole number) that a row lies in.
+def by_heat(df: DataFrame, keys: list[str], most: int, work: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``work(rows, hot)`` over the rows of hot keys, which have more than ``most`` rows and which it must do in chunks, and
+    over those of all others, which a window by key takes at once. Without hot keys, which is usual, all rows are scanned
+    and shuffled once by it, after their keys were counted."""
+    if not keys:
+        return work(df, df.limit(most + 1).count() > most)
+    hot = hot_keys(df, keys, most)
+    if hot is None:
+        return work(df, False)
+    names = fresh(df, *(f"hot{i}" for i in range(len(keys))))
+    same = [col(k).eqNullSafe(col(n)) for k, n in zip(keys, names)]
+    told = F.broadcast(hot.toDF(*names))
+    return work(df.join(told, same, "left_anti"), False).unionByName(work(df.join(told, same, "left_semi"), True))
+
+
+def in_chunks(df: DataFrame, keys: list[str], order: str, size: int, hot: bool = True) -> tuple[DataFrame, str, str]:
+    """``df`` without rows that lack ``order``, with two columns, whose names come with it: the keys as one struct, in which
+    nulls are equal, and the chunk of ``size`` values of ``order`` (a whole number) that a row lies in; of rows that aren't
+    ``hot`` there is one chunk.
 
     Ordered work over groups of any size goes chunk by chunk: windows by both columns, a summary of each chunk, and
-    ``carried`` to bring what came before into a chunk. As all of it is keyed by the same two columns, rows are shuffled
-    once. Rows without an order are left out by ``carried``.
+    ``carried`` to bring what came before into a chunk.
     """
     key, chunk = fresh(df, "key", "chunk")
     struct = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
-    return df.withColumns({key: struct, chunk: F.expr(f"`{order}` div {size}")}), key, chunk
+    df = df.filter(col(order).isNotNull())
+    return df.withColumns({key: struct, chunk: F.expr(f"`{order}` div {size}") if hot else F.lit(0).cast("long")}), key, chunk
 
 
 def carry(rows: DataFrame, summary: DataFrame, key: str, chunk: str) -> DataFrame:
@@ -122,9 +140,12 @@ def carry(rows: DataFrame, summary: DataFrame, key: str, chunk: str) -> DataFram
     return rows.join(short, (col(key) == col(k)) & (col(chunk) == col(c))).drop(k, c)
 
 
-def carried(rows: DataFrame, key: str, chunk: str, summary: Column, out: str, how: str = "last") -> DataFrame:
-    """``rows`` with ``out``: what the chunks of the same key before this one add up to ('last', 'max' or 'sum')."""
+def carried(rows: DataFrame, key: str, chunk: str, summary: Column, out: str, how: str = "last", hot: bool = True) -> DataFrame:
+    """``rows`` with ``out``: what the chunks of the same key before this one add up to ('last', 'max' or 'sum'); null where
+    there are none, as in rows that aren't ``hot``."""
     (s,) = fresh(rows, "s")
+    if not hot:
+        return rows.withColumn(out, F.lit(None).cast(rows.agg(summary.alias(s)).schema[0].dataType))
     before = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     f = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "sum": F.sum}[how]
     short = rows.groupBy(key, chunk).agg(summary.alias(s)).withColumn(out, f(col(s)).over(before)).drop(s)

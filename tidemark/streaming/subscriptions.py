@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.skew import carried, col, in_chunks
+from ..plans.skew import by_heat, carried, col, in_chunks
 from ..session import ship
 
 KEYS = ["collection", "doc_id"]
@@ -39,8 +39,13 @@ def field_changes(log: DataFrame, field: str, keys: list[str] = KEYS, chunk: int
     """
     floating = dict(log.dtypes)[field] in ("double", "float")
     put = F.col("op") == "put" if puts is None else puts
-    rows, key, chunk_ = in_chunks(log.withColumn("new", F.when(put, col(field))).withColumn("_new", F.struct("new")), keys, "seq", chunk)
-    rows = carried(rows, key, chunk_, F.max_by("_new", "seq"), "_carry")
+    told = log.withColumn("new", F.when(put, col(field))).withColumn("_new", F.struct("new"))
+    return by_heat(told, keys, chunk, lambda rows, hot: _changed(rows, keys, chunk, floating, hot))
+
+
+def _changed(rows: DataFrame, keys: list[str], chunk: int, floating: bool, hot: bool) -> DataFrame:
+    rows, key, chunk_ = in_chunks(rows, keys, "seq", chunk, hot)
+    rows = carried(rows, key, chunk_, F.max_by("_new", "seq"), "_carry", hot=hot)
     rows = rows.withColumn("old", F.coalesce(F.lag("_new").over(Window.partitionBy(key, chunk_).orderBy("seq")), F.col("_carry"))["new"])
     return rows.filter(_differs(F.col("old"), F.col("new"), floating)).drop(key, chunk_, "_new", "_carry")
 
