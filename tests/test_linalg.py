@@ -68,3 +68,19 @@ def test_matrices(spark):
 def test_most_similar(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", [1.0, 1.0, 0.0])], "doc_id string, embedding array<double>")
     assert [r.doc_id for r in M.most_similar(df, [1, 0, 0], 2).collect()] == ["a", "c"] and M.most_similar(df, [1, 0, 0], 0).count() == 0
+
+
+@pytest.mark.parametrize("side", [1, 3, 64])
+def test_products_by_blocks_are_those_of_a_plain_loop(spark, side):
+    import math
+    import random
+
+    r = random.Random(side)
+    n, k, m = 7, 5, 8
+    value = lambda: r.choice([0.0, 0.0, 1.0, -2.5, float("inf"), float("-inf"), float("nan"), r.gauss(0, 1)])
+    a, b = [[value() for _ in range(k)] for _ in range(n)], [[value() for _ in range(m)] for _ in range(k)]
+    got = dense(M.matmul(mat(spark, a), mat(spark, b), side))
+    for i in range(n):
+        for j in range(m):
+            want = sum(a[i][q] * b[q][j] for q in range(k) if a[i][q] != 0)
+            assert math.isclose(got[i][j], want, abs_tol=1e-9) or math.isnan(got[i][j]) and math.isnan(want)

@@ -109,7 +109,7 @@ def _float_bits(s: pd.Series) -> pd.Series:
     """Sixteen hex digits that order as the floats do, the negative zero before the positive one, NaN above all."""
     v = s.to_numpy(dtype="float64", na_value=np.nan).view("int64")
     u = np.where(v < 0, ~v, v | np.int64(-(1 << 63))).view("uint64")
-    return pd.Series([format(int(x), "016x") for x in u])
+    return pd.Series(np.frombuffer(u.astype(">u8").tobytes().hex().encode(), "S16").astype(str))
 
 
 def index_key(v: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..plans.skew import col, fresh
+from ..session import ship
 from .access import KEY
 
+#: Rows and columns of a block in which matrices are multiplied.
+BLOCK = 64
+
 
 def filled(spark: SparkSession, rows: int, cols: int, value: float = 0.0) -> DataFrame:
     return spark.range(rows * cols).select(F.expr(f"id div {max(cols, 1)}").alias("i"), (F.col("id") % max(cols, 1)).alias("j"), F.lit(float(value)).alias("v"))
@@ -77,15 +82,61 @@ def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
-def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
+def _blocks(m: DataFrame, side: int, names: tuple[str, str, str]) -> DataFrame:
+    """One row a block that has cells: its row and column of blocks, and its cells as (place, value)."""
+    cell = F.struct(((F.col("i") % side) * side + F.col("j") % side).cast("int").alias("p"), F.col("v"))
+    return m.groupBy(F.expr(f"i div {side}").alias(names[0]), F.expr(f"j div {side}").alias(names[1])).agg(F.collect_list(cell).alias(names[2]))
+
+
+def _product(side: int):
+    """Sums of the products of pairs of blocks, one row a block of the result and batch."""
+
+    def dense(cells) -> tuple[np.ndarray, np.ndarray]:
+        m, there = np.zeros(side * side), np.zeros(side * side, bool)
+        p = cells.field(0).to_numpy(zero_copy_only=False)
+        m[p], there[p] = cells.field(1).to_numpy(zero_copy_only=False), True
+        return m.reshape(side, side), there.reshape(side, side)
+
+    def times(x: np.ndarray, y: np.ndarray, there: np.ndarray) -> np.ndarray:
+        odd_x, odd_y = ~np.isfinite(x), ~np.isfinite(y)
+        out = np.where(odd_x, 0, x) @ np.where(odd_y, 0, y)
+        with np.errstate(invalid="ignore"):
+            for i, k in np.argwhere(odd_x):  # only against the cells that are there
+                out[i] += np.where(there[k], x[i, k] * y[k], 0)
+            for k, j in np.argwhere(odd_y):  # zeros of the left side hide them
+                out[:, j] += np.where((x[:, k] != 0) & ~odd_x[:, k], x[:, k] * y[k, j], 0)
+        return out
+
+    def each(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            left, right = b.column(2), b.column(3)
+            for r, at in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                x, (y, there) = dense(left[r].values)[0], dense(right[r].values)
+                sums[at] = sums.get(at, 0) + times(x, y, there)
+            values = pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in sums], pa.int64()), pa.array([c for _, c in sums], pa.int64()), values], ["bi", "bj", "cells"])
+
+    return each
+
+
+def matmul(a: DataFrame, b: DataFrame, side: int = BLOCK) -> DataFrame:
     """The product, all cells present. Zeros of ``a`` are skipped, so they hide infinities of ``b``. Raises where the inner
-    sizes differ."""
+    sizes differ.
+
+    Both are cut into blocks of ``side`` by ``side`` cells, which meet by their inner row of blocks; a task multiplies pairs of
+    them and adds up what belongs to one block of the result, so what is shuffled is blocks, not single products.
+    """
     (n, k), (k2, m) = shape(a), shape(b)
     if k != k2:
         raise ValueError(f"inner sizes differ: {k} and {k2}")
-    left = a.filter(F.col("v") != 0).select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
-    right = b.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("y"))
-    cells = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    ship(a.sparkSession)
+    left, right = _blocks(a, side, ("bi", "bk", "x")), _blocks(b, side, ("bk", "bj", "y"))
+    sums = left.join(right, "bk").select("bi", "bj", "x", "y").mapInArrow(_product(side), "bi long, bj long, cells array<double>")
+    cells = sums.select("bi", "bj", F.posexplode("cells").alias("p", "v"))
+    cells = cells.select((F.col("bi") * side + F.expr(f"p div {side}")).alias("i"), (F.col("bj") * side + F.col("p") % side).alias("j"), "v").filter((F.col("i") < n) & (F.col("j") < m))
     return cells.unionAll(filled(a.sparkSession, n, m)).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 

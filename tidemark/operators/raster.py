@@ -11,7 +11,8 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,16 +110,24 @@ def set_cell(cells: DataFrame, row: int, c: int, channel: int, value: float) ->
     return cells.withColumn("value", F.when(here, F.lit(float(value))).otherwise(F.col("value")))
 
 
-@F.pandas_udf(T.BinaryType())
-def pack(s: pd.Series) -> pd.Series:
-    """ARRAY<DOUBLE> as little-endian 64-bit floats."""
-    return s.map(lambda a: None if a is None else np.asarray(a, "<f8").tobytes())
+@F.arrow_udf(T.BinaryType())
+def pack(s: pa.Array) -> pa.Array:
+    """ARRAY<DOUBLE> as little-endian 64-bit floats; a null inside is a NaN."""
+    n = pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = pc.fill_null(s.flatten(), np.nan).to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+    ends = pa.array(np.concatenate(([0], np.cumsum(n) * 8)), pa.int64())
+    packed = pa.Array.from_buffers(pa.large_binary(), len(s), [None, ends.buffers()[1], pa.py_buffer(raw)])
+    return pc.if_else(s.is_valid(), packed, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def unpack(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def unpack(s: pa.Array) -> pa.Array:
     """Little-endian 64-bit floats as ARRAY<DOUBLE>; null where the length doesn't fit."""
-    return s.map(lambda b: None if b is None or len(b) % 8 else np.frombuffer(b, "<f8"))
+    n = pc.fill_null(pc.binary_length(s), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    ok = (n >= 0) & (n % 8 == 0)
+    values = np.frombuffer(b"".join(s.filter(pa.array(ok)).to_pylist()), "<f8")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(ok, n // 8, 0)))), pa.int32()), pa.array(values, pa.float64()))
+    return pc.if_else(pa.array(ok), lists, pa.scalar(None, lists.type))
 
 
 def to_document(data: Column, grid: Grid) -> Column:

@@ -21,62 +21,70 @@ _MASK = (1 << 64) - 1
 
 # -- blocks of samples: delta of deltas of the times, XOR of the values ---------------------------------------------------
 class Bits:
-    """A growing string of bits, and a reader of one."""
+    """A reader of bits, from the highest of each byte on."""
 
-    def __init__(self, data: bytes = b""):
-        self.acc, self.n, self.data, self.at = [], 0, int.from_bytes(data, "big"), len(data) * 8
-
-    def put(self, value: int, width: int) -> None:
-        if width:
-            self.acc.append(format(value & ((1 << width) - 1), f"0{width}b"))
+    def __init__(self, data: bytes):
+        self.data, self.at, self.end = data + bytes(10), 0, len(data) * 8
 
     def take(self, width: int) -> int:
-        if width > self.at:
+        if self.at + width > self.end:
             raise ValueError("the block ends early")
-        self.at -= width
-        return self.data >> self.at & ((1 << width) - 1)
-
-    def done(self) -> bytes:
-        s = "".join(self.acc)
-        s += "0" * (-len(s) % 8)
-        return int("1" + s, 2).to_bytes(len(s) // 8 + 1, "big")[1:] if s else b""
+        lo, self.at = self.at, self.at + width
+        return int.from_bytes(self.data[lo >> 3 : (lo >> 3) + 10], "big") >> 80 - (lo & 7) - width & (1 << width) - 1
 
 
 #: Bits of a delta of deltas by its prefix of ones; the last holds any.
 WIDTHS = (0, 7, 9, 12, 65)
 
 
+def _packed(values: np.ndarray, widths: np.ndarray) -> bytes:
+    """Numbers of up to 64 bits, each in as many bits as its width, one after the other."""
+    owner = np.repeat(np.arange(len(widths)), widths)
+    place = np.arange(len(owner)) - (np.cumsum(widths) - widths)[owner]
+    return np.packbits((values[owner] >> (widths[owner] - 1 - place).astype(np.uint64) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    n, x = np.zeros(len(x), np.int64), x.copy()
+    for step in (32, 16, 8, 4, 2, 1):
+        big = x >> np.uint64(step) != 0
+        n[big] += step
+        x[big] >>= np.uint64(step)
+    return n + (x != 0)
+
+
 def encode_block(ts: Iterable[int], values: Iterable[float]) -> bytes:
     """A block of samples of any order and any values, NaN included, bit for bit."""
-    ts, bits = list(ts), [struct.unpack(">Q", struct.pack(">d", v))[0] for v in values]
-    out = Bits()
-    prev = delta = last = 0
-    lead = width = -1
-    for i, (t, v) in enumerate(zip(ts, bits)):
-        if not i:
-            out.put(t, 64)
-            out.put(v, 64)
-        else:
-            dod = (t - prev) - delta
-            delta = t - prev
-            k = next(k for k, w in enumerate(WIDTHS) if dod == 0 or w and -(1 << w - 1) <= dod < 1 << w - 1)
-            out.put((1 << k + 1) - 2 if k < 4 else 15, min(k + 1, 4))
-            out.put(dod, WIDTHS[k])
-            x = v ^ last
-            if not x:
-                out.put(0, 1)
-            else:
-                zl, zt = 64 - x.bit_length(), (x & -x).bit_length() - 1
-                if lead >= 0 and zl >= lead and zt >= 64 - lead - width:
-                    out.put(2, 2)
-                else:
-                    lead, width = zl, 64 - zl - zt
-                    out.put(3, 2)
-                    out.put(lead, 6)
-                    out.put(width - 1, 6)
-                out.put(x >> 64 - lead - width, width)
-        prev, last = t, v
-    return struct.pack(">I", len(ts)) + out.done()
+    t = np.array(list(ts), object)
+    v = np.array(values if isinstance(values, (np.ndarray, pd.Series)) else list(values), np.float64).view(np.uint64)
+    n = len(t)
+    if not n:
+        return struct.pack(">I", 0)
+    dod = np.diff(np.diff(t, prepend=t[:1]), prepend=0)[1:] if n > 1 else t[:0]
+    if n > 1 and max(map(abs, (dod.min(), dod.max()))) < 1 << 62:
+        dod = dod.astype(np.int64)
+    kind = np.full(n - 1, 4)
+    for k in (3, 2, 1):
+        kind[(dod >= -(1 << WIDTHS[k] - 1)) & (dod < 1 << WIDTHS[k] - 1)] = k
+    kind[dod == 0] = 0
+    low = dod.astype(np.int64).view(np.uint64) if dod.dtype != object else np.array([int(d) & _MASK for d in dod], np.uint64)
+    x = v[1:] ^ v[:-1]
+    lead, tail = 64 - _bit_length(x), _bit_length(x & (~x + np.uint64(1))) - 1
+    # The stretch of bits that is written stays while it holds what differs: the one thing that goes from sample to sample.
+    fresh, at, width = np.zeros(n - 1, bool), np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
+    a = w = -1
+    for i, zl, zt in zip(some := np.flatnonzero(x), lead[some].tolist(), tail[some].tolist()):
+        if a < 0 or zl < a or zt < 64 - a - w:
+            a, w, fresh[i] = zl, 64 - zl - zt, True
+        at[i], width[i] = a, w
+    same = x == 0
+    fields = [
+        (np.where(kind < 4, (1 << kind + 1) - 2, 15), np.minimum(kind + 1, 4)), (np.array(dod < 0), np.where(kind == 4, 1, 0)), (low, np.where(kind == 4, 64, np.array(WIDTHS)[kind])),
+        (np.where(same, 0, np.where(fresh, 3, 2)), np.where(same, 1, 2)), (at, np.where(fresh, 6, 0)), (width - 1, np.where(fresh, 6, 0)), (x >> (np.minimum(64 - at - width, 63)).astype(np.uint64), width),
+    ]
+    numbers = np.concatenate([np.array([int(t[0]) & _MASK, int(v[0])], np.uint64), np.stack([f.astype(np.uint64) for f, _ in fields], 1).ravel()])
+    widths = np.concatenate([np.array([64, 64]), np.stack([g for _, g in fields], 1).ravel()])
+    return struct.pack(">I", n) + _packed(numbers, widths)
 
 
 def _signed(v: int, width: int) -> int:
@@ -85,25 +93,25 @@ def _signed(v: int, width: int) -> int:
 
 def decode_block(data: bytes) -> tuple[list[int], list[float]]:
     n, src = struct.unpack(">I", data[:4])[0], Bits(data[4:])
-    ts, bits = [], []
+    take, ts, bits = src.take, [], []
     delta, lead, width = 0, 0, 0
     for i in range(n):
         if not i:
-            ts.append(_signed(src.take(64), 64))
-            bits.append(src.take(64))
+            ts.append(_signed(take(64), 64))
+            bits.append(take(64))
             continue
         k = 0
-        while k < 4 and src.take(1):
+        while k < 4 and take(1):
             k += 1
-        delta += _signed(src.take(WIDTHS[k]), WIDTHS[k]) if k else 0
+        delta += _signed(take(WIDTHS[k]), WIDTHS[k]) if k else 0
         ts.append(ts[-1] + delta)
         x = 0
-        if src.take(1):
-            if src.take(1):
-                lead, width = src.take(6), src.take(6) + 1
-            x = src.take(width) << 64 - lead - width
+        if take(1):
+            if take(1):
+                lead, width = take(6), take(6) + 1
+            x = take(width) << 64 - lead - width
         bits.append(bits[-1] ^ x)
-    return ts, [struct.unpack(">d", struct.pack(">Q", b))[0] for b in bits]
+    return ts, np.array(bits, np.uint64).view(np.float64).tolist()
 
 
 def encode_blocks(rows: DataFrame) -> DataFrame:
@@ -112,7 +120,7 @@ def encode_blocks(rows: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("append_seq")
         first = pdf.iloc[0]
-        return pd.DataFrame([[first["series_id"], first["seg"], first["part"], len(pdf), encode_block(map(int, pdf["ts_ms"]), pdf["value"])]], columns=["series_id", "seg", "part", "samples", "payload"])
+        return pd.DataFrame([[first["series_id"], first["seg"], first["part"], len(pdf), encode_block(pdf["ts_ms"].tolist(), pdf["value"].to_numpy(float))]], columns=["series_id", "seg", "part", "samples", "payload"])
 
     ship(rows.sparkSession)
     kind = dict(rows.dtypes)["series_id"]
@@ -124,11 +132,12 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                ts, values = decode_block(bytes(r.payload))
-                out += [(r.series_id, r.seg, r.part, i, t, v) for i, (t, v) in enumerate(zip(ts, values))]
-            yield pd.DataFrame(out, columns=["series_id", "seg", "part", "pos", "ts_ms", "value"])
+            got = [decode_block(bytes(p)) for p in pdf["payload"]]
+            n = [len(ts) for ts, _ in got]
+            at = pdf.index.repeat(n)
+            out = {c: pdf[c].loc[at].to_numpy() for c in ("series_id", "seg", "part")}
+            pos = np.concatenate([np.arange(k) for k in n] or [np.zeros(0, int)])
+            yield pd.DataFrame(out | {"pos": pos, "ts_ms": np.array([t for ts, _ in got for t in ts], "int64"), "value": np.array([v for _, vs in got for v in vs], float)})
 
     ship(blocks.sparkSession)
     kind = dict(blocks.dtypes)["series_id"]
