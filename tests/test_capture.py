@@ -101,3 +101,51 @@ def test_rows_without_offset_and_empty_log(spark):
 def test_latest_by_takes_nulls_as_equal_and_one_of_ties(spark):
     df = spark.createDataFrame([(None, 1, "a"), (None, 1, "b"), ("k", 2, "c")], "k string, o int, v string")
     assert rows(C.latest_by(df, ["k"], [F.col("o")]), "k") == [(None, 1, "b"), ("k", 2, "c")]
+
+
+def test_plans_of_another_number_of_partitions_are_refused(spark):
+    log = spark.createDataFrame([change(1, "a"), change(2, "b")], LOG)
+    root = shared.fresh_folder(spark, "t")
+    C.ChangeCapture(spark, root, ["doc_id"], partitions=3).run(log, lambda r: r)
+    with pytest.raises(ValueError):
+        C.ChangeCapture(spark, root, ["doc_id"], partitions=5).plan(log)
+
+
+def test_of_two_runs_that_plan_at_once_both_work_on_one_plan(spark, monkeypatch):
+    log = spark.createDataFrame([change(i, f"d{i}") for i in range(20)], LOG)
+    root = shared.fresh_folder(spark, "t")
+    a, b = (C.ChangeCapture(spark, root, ["doc_id"], partitions=3) for _ in range(2))
+    create, first = shared.create_text, []
+
+    def late(*args):
+        if not first:
+            first.append(1)
+            assert b.plan(log.filter("seq < 10"))["batch"] == 0  # the other run plans in between
+        return create(*args)
+
+    monkeypatch.setattr(shared, "create_text", late)
+    assert a.plan(log)["to"] == b.plan(log)["to"] and max(x for x in a.plan(log)["to"] if x is not None) == 9
+
+
+def test_due_when_a_run_fails_in_each_phase(spark, monkeypatch):
+    r = random.Random(4)
+    data = [change(i, f"d{r.randrange(12)}", version=i, cid=f"c{i}", hlc=(r.randrange(50), 0, "n")) for i in range(90)]
+    marks, runs = spark.createDataFrame([], MARKS), spark.createDataFrame([], RUNS)
+    root, write = shared.fresh_folder(spark, "t"), shared.create_text
+    got = lambda n, root: {(x.doc_id, x.version) for x in C.due(spark, spark.createDataFrame(data[:n], LOG), marks, runs, root).collect()}
+    assert got(30, root) == got(30, None)
+    for n, phase in ((60, "plans"), (75, "work"), (90, "commits")):
+        def broken(s, at, text, phase=phase):
+            if f"/{phase}/" in at:
+                raise RuntimeError
+            return write(s, at, text)
+
+        with monkeypatch.context() as m:
+            if phase == "work":
+                m.setattr(C, "heads", lambda rows: (_ for _ in ()).throw(RuntimeError()))
+            else:
+                m.setattr(shared, "create_text", broken)
+                m.setattr(shared, "write_text", broken)
+            with pytest.raises(RuntimeError):
+                got(n, root)
+        assert got(n, root) == got(n, None)

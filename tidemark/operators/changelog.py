@@ -85,6 +85,13 @@ def _with_versions(log: DataFrame, keys: list[str], chunk: int, hot: bool) -> Da
     return rows.drop(key, chunk_, "_del", "_epoch", "_puts", "_carry")
 
 
+def version_of(log: DataFrame, doc_id: object, keys: list[str] = KEYS) -> DataFrame:
+    """One row (version) of a document's live state, 0 if it is absent. Only its own changes are read."""
+    mine = log.filter(col(keys[-1]) == F.lit(doc_id))
+    last = latest_by(with_versions(mine, keys), [keys[-1]], [col("seq")])
+    return last.agg(F.coalesce(F.max(F.when(F.col("op") == "put", F.col("version"))), F.lit(0)).cast("long").alias("version"))
+
+
 def overlay(snapshot: DataFrame, log: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """A snapshot with the changes since: its documents that no change touched, and the live ones of the log."""
     touched = log.select(*[col(k) for k in keys]).distinct()

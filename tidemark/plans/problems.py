@@ -43,6 +43,20 @@ def p2_replayed(spark, d):
     return newest.select("collection", "doc_id", "op", "version", "change_id")
 
 
+def p2_sink(spark, d):
+    """What the sink holds after the same runs when they take the changes as they are: of each document the last in the log."""
+    log = _t(spark, d, "repl_changes").select("seq", "collection", "doc_id", "version", "change_id")
+    c = capture.ChangeCapture(spark, shared.fresh_folder(spark, "sink"), ["collection", "doc_id"])
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    same = lambda rows: rows
+    c.run(log.filter(F.col("seq") <= lo + (hi - lo) // 3), same)
+    lost = c.plan(log.filter(F.col("seq") <= lo + 2 * (hi - lo) // 3))
+    c.read(log, lost).write.parquet(f"{c.root}/sink/batch={lost['batch']}")  # the run is lost before its commit
+    while c.run(log, same) is not None:
+        pass
+    return c.sink().select("collection", "doc_id", "seq", "version", "change_id")
+
+
 def p3_found(spark, d):
     return grid.missing_periods(_t(spark, d, "series_info"), _t(spark, d, "blocks"))
 
@@ -75,7 +89,7 @@ def p5_method(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_once, p2_found, p2_replayed, p3_found, p3_grid, p4_found, p4_state, p5_method, p5_found, p5_flags)}
+    return {f.__name__: f for f in (p1_found, p1_once, p2_found, p2_replayed, p2_sink, p3_found, p3_grid, p4_found, p4_state, p5_method, p5_found, p5_flags)}
 
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
@@ -123,6 +137,7 @@ def oracle_sql() -> dict:
           SELECT h.collection, h.doc_id FROM heads h LEFT JOIN last l ON h.collection = l.collection AND h.doc_id = l.doc_id
           WHERE l.run_id IS NULL OR l.version <> h.version OR {_ID.format("l.change_id")} <> coalesce(h.change_id, '')""",
         "p2_replayed": f"WITH {_HEADS} SELECT collection, doc_id, op, version, change_id FROM heads",
+        "p2_sink": "SELECT collection, doc_id, seq, version, change_id FROM repl_changes QUALIFY row_number() OVER (PARTITION BY collection, doc_id ORDER BY seq DESC) = 1",
         "p3_found": f"""WITH {_GRID} SELECT p.series_id, f + slot * p AS slot_ms FROM periods p
           WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.series_id = p.series_id AND s.slot = p.slot)""",
         "p3_grid": f"""WITH {_GRID},

@@ -305,6 +305,13 @@ def log_torn(spark, d):
     return spark.read.schema(rows.schema).option("ignoreCorruptFiles", "true").parquet(f"{at}/log").select("seq")
 
 
+@query(f"WITH {VERSIONS} SELECT doc_id, coalesce((SELECT version FROM (SELECT * FROM versions v WHERE v.doc_id = t.doc_id ORDER BY seq DESC LIMIT 1) WHERE op = 'put'), 0) AS version FROM (VALUES (3), (8), (-1)) t(doc_id)")
+def version_of_documents(spark, d):
+    """The versions of single documents, 0 for one that is absent or deleted."""
+    got = [changelog.version_of(log(spark, d), i).select(F.lit(i).alias("doc_id"), "version") for i in (3, 8, -1)]
+    return got[0].unionAll(got[1]).unionAll(got[2])
+
+
 # -- streams of rows -------------------------------------------------------------------------------------------------------
 @query("SELECT n_nationkey, n_name FROM nation")
 def stream_all(spark, d):

@@ -49,16 +49,24 @@ class ChangeCapture:
         plans, commits = self._batches("plans"), set(self._batches("commits"))
         for n in plans:
             if n not in commits:
-                return json.loads(shared.read_text(self.spark, self._at("plans", n)))
+                lost = json.loads(shared.read_text(self.spark, self._at("plans", n)))
+                self._check(lost["to"])
+                return lost
         since = json.loads(shared.read_text(self.spark, self._at("plans", plans[-1])))["to"] if plans else [None] * self.partitions
+        self._check(since)
         ends = dict(log.groupBy(self.partition().alias("p")).agg(F.max(col(self.offset)).alias("m")).collect())  # one row a partition
         to = [max((x for x in (since[p], ends.get(p)) if x is not None), default=None) for p in range(self.partitions)]
         if to == since:
             return None
         made = {"batch": plans[-1] + 1 if plans else 0, "from": since, "to": to}
-        shared.write_text(self.spark, self._at("plans", made["batch"]), json.dumps(made))
+        if not shared.create_text(self.spark, self._at("plans", made["batch"]), json.dumps(made)):
+            return self.plan(log)  # another run planned first; its plan is open, so it is the one to work on
         return made
 
+    def _check(self, ends: list) -> None:
+        if len(ends) != self.partitions:
+            raise ValueError(f"{self.root} has plans of {len(ends)} partitions, not of {self.partitions}")
+
     def read(self, log: DataFrame, plan: dict) -> DataFrame:
         """Exactly the rows of the plan."""
         p, o = self.partition(), col(self.offset)
