@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,19 +33,29 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def _shrunk(m: np.ndarray, by: float) -> np.ndarray:
+    """``m`` with its singular values lessened, those up to ``by`` to zero; by the eigenvectors of the smaller product with its
+    own transpose, which costs a fraction of a decomposition of ``m``."""
+    if m.shape[0] > m.shape[1]:
+        return _shrunk(m.T, by).T
+    w, u = np.linalg.eigh(m @ m.T)
+    d = np.sqrt(np.maximum(w, 0))
+    u, d = u[:, d > by], d[d > by]
+    return (u * (1 - by / d)) @ (u.T @ m)
+
+
 def robust_pca(m: np.ndarray, rounds: int = 40, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Principal component pursuit: ``m`` as a low-rank plus a sparse matrix, by the inexact augmented Lagrangian method."""
     norm = np.linalg.norm(m)
     if not norm:
         return np.zeros_like(m), np.zeros_like(m)
     lam = 1 / np.sqrt(max(m.shape))
-    top = np.linalg.norm(m, 2)
+    top = np.sqrt(max(np.linalg.eigvalsh(m @ m.T if m.shape[0] <= m.shape[1] else m.T @ m)[-1], 0))
     y = m / max(top, np.abs(m).max() / lam)
     mu, s = 1.25 / top, np.zeros_like(m)
     low = s
     for _ in range(rounds):
-        u, d, v = np.linalg.svd(m - s + y / mu, full_matrices=False)
-        low = (u * np.maximum(d - 1 / mu, 0)) @ v
+        low = _shrunk(m - s + y / mu, 1 / mu)
         r = m - low + y / mu
         s = np.sign(r) * np.maximum(np.abs(r) - lam / mu, 0)
         rest = m - low - s
@@ -157,33 +168,64 @@ def implausible(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataF
     return reduce(DataFrame.unionAll, parts).groupBy("series_id", "block_seq").agg(*[F.bool_or(f).alias(f) for f in flags])
 
 
-def _profiles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Flags the values whose distance from the low-rank part of their profiles is beyond FAR; those without a place, from the level."""
-    spike = np.zeros(len(pdf), bool)
-    placed = pdf["row"].notna().to_numpy()
-    row = (pdf["row"] - pdf["row"].min()).fillna(0).to_numpy().astype(int)
-    pos = pdf["pos"].fillna(0).to_numpy().astype(int)
+def _profiles(g: dict[str, np.ndarray]) -> np.ndarray:
+    """Of one matrix's blocks those with a value whose distance from the low-rank part of their profiles is beyond FAR; of
+    those without a place, from the level."""
+    n = len(g["pos"])
+    spike, placed = np.zeros(n, bool), ~np.isnan(g["row"])
+    row = np.where(placed, g["row"], 0).astype(int)
+    row -= row[placed].min() if placed.any() else 0
+    pos = np.nan_to_num(g["pos"]).astype(int)
     for i in range(len(FIELDS)):
-        level, spread = pdf[f"level{i}"].iloc[0], pdf[f"spread{i}"].iloc[0]
+        level, spread = g[f"level{i}"][0], g[f"spread{i}"][0]
         if not spread > 0:  # null too
             continue
-        v = pdf[FIELDS[i]].to_numpy(float)
+        v = g[FIELDS[i]]
         ok = np.isfinite(v)
         with np.errstate(over="ignore", invalid="ignore"):
             z = (v - level) / spread
-        usual = np.zeros(len(pdf))
+        usual = np.zeros(n)
         use = np.flatnonzero(ok & placed)
         if len(use):
-            m = np.full((row[use].max() + 1, int(pdf["width"].iloc[0])), np.nan)
+            m = np.full((row[use].max() + 1, int(g["width"][0])), np.nan)
             use = use[np.argsort(-np.abs(z[use]), kind="stable")]  # of several in a slot the nearest to the level stays
             m[row[use], pos[use]] = np.clip(z[use], -WILD, WILD)
-            seen = ~np.isnan(m).all(axis=0)
-            usual_at = np.zeros(m.shape[1])
-            usual_at[seen] = np.nanmedian(m[:, seen], axis=0)
+            ranked, seen = np.sort(m, axis=0), (~np.isnan(m)).sum(axis=0)
+            at = np.arange(m.shape[1])
+            middle = (ranked[np.maximum(seen - 1, 0) // 2, at] + ranked[np.minimum(seen // 2, len(m) - 1), at]) / 2
+            usual_at = np.where(seen > 0, middle, 0)
             low, _ = robust_pca(np.where(np.isnan(m), usual_at, m))  # what is absent lies where its time of day usually does
             usual[use] = low[row[use], pos[use]]
         spike |= ok & (np.abs(np.where(ok, z, 0) - usual) > FAR)
-    return pdf.loc[spike, ["series_id", "block_seq"]]
+    return spike
+
+
+def _by_matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_profiles`` of every matrix of a partition whose rows come matrix by matrix; the last of a batch waits for the next."""
+    rest, names = None, ["series_id", "block_seq"]
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        ends = _ends(pdf)
+        rest = pdf.iloc[ends[-2] :] if len(ends) > 1 else None
+        yield _found(pdf, ends[:-1], names)
+    if rest is not None:
+        yield _found(rest, _ends(rest), names)
+
+
+def _ends(pdf: pd.DataFrame) -> list[int]:
+    """Where matrices begin, and the number of rows."""
+    if not len(pdf):
+        return [0]
+    s, p = pdf["series_id"].to_numpy(object), pdf["part"].to_numpy()
+    return [0, *(np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1])) + 1).tolist(), len(pdf)]
+
+
+def _found(pdf: pd.DataFrame, ends: list[int], names: list[str]) -> pd.DataFrame:
+    cols = {c: pdf[c].to_numpy(float) for c in pdf.columns if c not in (*names, "part")}
+    keep = np.zeros(len(pdf), bool)
+    for lo, hi in zip(ends, ends[1:]):
+        keep[lo:hi] = _profiles({c: v[lo:hi] for c, v in cols.items()})
+    return pdf.loc[keep, names]
 
 
 def separated(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -215,7 +257,8 @@ def separated(info: DataFrame, blocks: DataFrame, chunk: int = CHUNK) -> DataFra
     x = x.withColumn("t", t).withColumns({"row": F.expr("t div line"), "pos": F.expr("(t % line) div period_ms")})
     x = x.withColumn("part", F.coalesce(F.least(F.expr("row div high"), c("parts") - 1), -1 - F.floor(F.abs("block_seq") / chunk)))
     x = x.select("series_id", "block_seq", *FIELDS, *[f"{k}{i}" for i in range(len(FIELDS)) for k in ("level", "spread")], "width", "row", "pos", "part")
-    return x.groupBy("series_id", "part").applyInPandas(_profiles, x.select("series_id", "block_seq").schema)
+    ordered = x.repartition("series_id", "part").sortWithinPartitions("series_id", "part")
+    return ordered.mapInPandas(_by_matrix, x.select("series_id", "block_seq").schema)
 
 
 def stuck_runs(b: DataFrame, least: int = RUN) -> DataFrame:
