@@ -183,9 +183,12 @@ def read_frames(frames: DataFrame, grid: Grid, low: int, high: int) -> DataFrame
     """(ts_ms, row, col, channel, value): the whole frame of every time from low to high that has one, by time. Cells
     without a value are 0."""
     used = frames.filter((F.col("ts_ms") >= low) & (F.col("ts_ms") <= high))
-    full = grid.cells(used.select("ts_ms").distinct())
-    got = _first(used).select("ts_ms", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("channel").cast("int").alias("channel"), "value")
-    return full.join(got, ["ts_ms", "row", "col", "channel"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))).orderBy("ts_ms", "row", "col", "channel")
+    place = [F.col(c).cast("int").alias(c) for c in ("row", "col", "channel")]
+    # A 0 after all that was appended stands for what is absent: one aggregation instead of a join with the whole grid.
+    last = F.lit((1 << 63) - 1)
+    full = grid.cells(used.select("ts_ms").distinct()).select("ts_ms", *place, F.lit(0.0).alias("value"), last.alias("append_seq"))
+    both = used.select("ts_ms", *place, F.col("value").cast("double").alias("value"), F.coalesce(F.col("append_seq").cast("long"), last - 1).alias("append_seq")).unionAll(full)
+    return _first(both).withColumn("value", F.coalesce("value", F.lit(0.0))).orderBy("ts_ms", "row", "col", "channel")
 
 
 def read_frame(frames: DataFrame, grid: Grid, ts: int) -> DataFrame:
