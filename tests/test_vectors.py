@@ -87,11 +87,21 @@ def _table(spark, n=6000):
 def test_a_small_batch_reads_few_buckets_of_the_index_and_shuffles_none_of_it(spark):
     t = _table(spark)
     new = spark.createDataFrame([(5, 2, "b"), (99_999, 2, "b")], "k long, o long, v string")
-    places = t.stored_places(new, t._held(t._log()))
-    assert places.collect()[0]["__k0"] == 5 and places.count() == 1
+    places = t.with_places(new, t._held(t._log()), t.few(new))
+    got = {r.k: (r["__o"], r["__old_file"]) for r in places.collect()}
+    assert got[99_999] == (None, None) and got[5][0].o == 1 and got[5][1]
     assert len(t.touched(new)) <= 2 < len(t._index(t._held(t._log())).inputFiles())
     plan = places._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "PartitionFilters: [bucket" in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "PartitionFilters: [bucket" in plan
+
+
+def test_a_large_batch_meets_the_index_in_one_join(spark, monkeypatch):
+    from tidemark.sources import vectors
+
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    data = made(400, 15, 11)
+    got = feed.alive(feed.apply_feed(spark.createDataFrame(data, LOG), batches=4)).select("collection", "doc_id", "version", "change_id")
+    assert {tuple(r) for r in got.collect()} == brute(data)
 
 
 def test_compaction_changes_nothing_for_readers_and_drops_dead_files(spark):

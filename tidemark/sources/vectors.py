@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.skew import col, fits
+from ..plans.skew import BROADCAST_BYTES, col, fits, row_bytes
 from . import shared
 
 #: Positions of a word, and buckets of the index of a table that isn't given another number.
@@ -96,20 +96,30 @@ class VectorTable:
 
     def touched(self, new: DataFrame) -> list[int]:
         """The buckets of the index that a batch's keys lie in."""
-        return sorted(r[0] for r in new.select(self._bucket().alias("b")).distinct().collect())
-
-    def stored_places(self, new: DataFrame, held: list[str]) -> DataFrame:
-        """For the keys of ``new`` that are stored: (__k0.., __o, __old_file, __old_pos) of their newest image. Only the buckets
-        they lie in are read; while the keys fit, they are sent to the index, which isn't shuffled then."""
-        names = [f"__k{i}" for i in range(len(self.keys))]
-        index = self._index(held).filter(col(BUCKET).isin(self.touched(new)))
-        index = index.select(*[col(k).alias(n) for k, n in zip(self.keys, names)], F.struct(*[col(c) for c in self.order]).alias("__o"), col(FILE).alias(OLD_FILE), col(POS).alias(OLD_POS))
-        keys = new.select(*[col(k).alias(f"__n{i}") for i, k in enumerate(self.keys)])
-        same = [F.col(n).eqNullSafe(F.col(f"__n{i}")) for i, n in enumerate(names)]
-        hits = index.join(F.broadcast(keys) if fits(keys) else keys, same, "left_semi")
+        return sorted(new.agg(F.collect_set(self._bucket()).alias("b")).first().b)  # one bucket each at most
+
+    def few(self, changes: DataFrame) -> bool:
+        """Whether the keys of a batch, by the number of its changes, are few enough to be sent to every task."""
+        return changes.count() * row_bytes(changes.select(*[col(k) for k in self.keys]).schema) <= BROADCAST_BYTES
+
+    def with_places(self, new: DataFrame, held: list[str], few: bool) -> DataFrame:
+        """``new`` with the order (__o) and place (__old_file, __old_pos) of the newest stored image of each key, nulls where there
+        is none. While the keys are ``few``, only the buckets that they lie in are read, and they are sent to the index, which
+        isn't shuffled then; a batch of very many, which lie in all buckets, meets the index in one join."""
+        one = F.struct(*[col(k) for k in self.keys])  # in which nulls are equal
+        index = self._index(held)
+        index = index.filter(col(BUCKET).isin(self.touched(new))) if few else index
+        place = F.struct(F.struct(*[col(c) for c in self.order]).alias("o"), col(FILE).alias("f"), col(POS).alias("p"))
+        index, new = index.select(one.alias("__k"), place.alias("__at")), new.withColumn("__k", one)
         # Of the images of a key the newest is the one whose bit isn't set: none but newer ones were ever appended.
-        best = hits.groupBy(*names).agg(F.max(F.struct("__o", OLD_FILE, OLD_POS)).alias("__b"))
-        return best.select(*names, F.col("__b")["__o"].alias("__o"), F.col("__b")[OLD_FILE].alias(OLD_FILE), F.col("__b")[OLD_POS].alias(OLD_POS))
+        if few:
+            found = index.join(F.broadcast(new.select("__k")), "__k", "left_semi").groupBy("__k").agg(F.max("__at").alias("__at"))
+            both = new.join(F.broadcast(found), "__k", "left")  # no more of them than of the keys
+        else:
+            rest = F.struct(*[col(c) for c in new.columns if c != "__k"])
+            both = new.select("__k", rest.alias("__new")).join(index, "__k", "left").groupBy("__k").agg(F.max("__at").alias("__at"), F.any_value("__new").alias("__new")).select("__at", "__new.*")
+        at = col("__at")
+        return both.withColumns({"__o": at["o"], OLD_FILE: at["f"], OLD_POS: at["p"]}).drop("__k", "__at")
 
     def apply(self, changes: DataFrame) -> int:
         """Apply one batch of images; returns its number."""
@@ -117,11 +127,10 @@ class VectorTable:
         held, n = self._held(log), len(log)
         new = self.reduce(changes)
         if held:
-            new = shared.written(new, "batch")
-            places = self.stored_places(new, held)
-            same = [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)]
+            few = self.few(changes)
+            new = shared.written(new, "batch") if few else new
             newer = F.col("__o").isNull() | (F.struct(*[col(c) for c in self.order]) > F.col("__o"))
-            images = new.join(places, same, "left").filter(newer).select(*[col(c) for c in new.columns], OLD_FILE, OLD_POS)
+            images = self.with_places(new, held, few).filter(newer).drop("__o")
         else:
             images = new.withColumns({OLD_FILE: F.lit(None).cast("string"), OLD_POS: F.lit(None).cast("long")})
         at = self._store(n, images)
