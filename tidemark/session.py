@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,6 +22,7 @@ def ship(spark: SparkSession) -> None:
         return
     home = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)  # the driver serves it as long as it runs
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(home.rglob("*.py")):
             z.write(p, Path("tidemark") / p.relative_to(home))
