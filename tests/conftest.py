@@ -10,7 +10,7 @@ from tidemark.session import build  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build("tests", cores=4, partitions=4, memory="4g")
+    s = build("tests", cores=8, partitions=4, memory="4g")
     yield s
     s.stop()
 

@@ -32,6 +32,17 @@ def of_sql(sql: str, d: str):
     return rows(r.columns, r.fetchall())
 
 
+_made: dict = {}
+
+
+def once(spark, query, name: str, d: str):
+    """The DataFrame of a query that several tests look at, made once."""
+    key = (spark.sparkContext.applicationId, name, d)
+    if key not in _made:
+        _made[key] = query(spark, d)
+    return _made[key]
+
+
 def differences(spark, query, sql: str, d: str) -> str:
     """Empty if both agree."""
     df = query(spark, d)

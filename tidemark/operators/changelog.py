@@ -103,8 +103,8 @@ def overlay(snapshot: DataFrame, log: DataFrame, keys: list[str] = KEYS) -> Data
 
 
 def write_snapshot(df: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Replace a snapshot, sorted by key within files so that lookups skip row groups."""
-    df.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    """Replace a snapshot, stored by ranges of the key and in its order within files, so that lookups skip files and row groups."""
+    df.repartitionByRange(col(key)).sortWithinPartitions(col(key)).write.mode("overwrite").parquet(path)
 
 
 def compact(spark: SparkSession, snapshot: str | None, log: str, to: str) -> int:

@@ -59,10 +59,10 @@ def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame | None:
     """The hot values of ``keys``, HOT_SHARE at most whatever the data, or null for none. Counted with map-side aggregation."""
     (n,) = fresh(df, "n")
-    counts = written(df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(n)), "key-counts")
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    hot = counts.filter(col(n) > max(rows, total // HOT_SHARE)).drop(n)
-    return hot if hot.limit(1).count() else None
+    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(n))
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    bound = max(rows, (total or 0) // HOT_SHARE)
+    return written(counts.filter(col(n) > bound).drop(n), "hot-keys") if (most or 0) > bound else None  # usually there are none
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -83,10 +83,10 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
 def crowded(df: DataFrame, on: str, share: float = 0.001, least: int = 1000) -> dict:
     """The values of ``on`` that more than a ``share`` of all rows have (and more than ``least``), and into how many parts, of
     that size each, they are to be split. No more than 1 / share values."""
-    counts = written(df.groupBy(col(on)).agg(F.count(F.lit(1)).alias("n")), "crowds")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(total * share, least)
-    return {r[0]: min(64, int(-(-r[1] // most))) for r in counts.filter(F.col("n") > most).collect()}
+    counts = df.groupBy(col(on)).agg(F.count(F.lit(1)).alias("n"))
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    most = max((total or 0) * share, least)
+    return {r[0]: min(64, int(-(-r[1] // most))) for r in counts.filter(F.col("n") > most).collect()} if (top or 0) > most else {}
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: str, by_left: Column, by_right: Column, left_parts: dict, right_parts: dict) -> DataFrame:
