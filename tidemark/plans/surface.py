@@ -57,7 +57,7 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
 def database(spark: SparkSession, d: str) -> Database:
     """The stand-in, made once an application and folder of tables."""
     at = (spark.sparkContext.applicationId, d)
-    if at not in _made:
+    if at not in _made or not shared.exists(spark, f"{_made[at]}/manifest"):  # the shared folder may have been cleared
         db = Database(spark, shared.fresh_folder(spark, "database"))
         p = _people(spark, d)
         db.ensure_collection("none")
@@ -459,7 +459,7 @@ def stack_stored(spark, d):
     return raster.read_frames(rows, grid, 1704412800000, 1705276800000)
 
 
-@query("SELECT 0.0 AS min_x, 16.0 AS max_y, 16 AS rows, 16 AS cols, 1 AS channels, 6 AS tile_size, 4 AS chunk_size, 0 AS heat, -1 AS cold")
+@query("SELECT 0::DOUBLE AS min_x, 16::DOUBLE AS max_y, 16 AS rows, 16 AS cols, 1 AS channels, 6 AS tile_size, 4 AS chunk_size, 0 AS heat, -1 AS cold")
 def stack_accessors(spark, d):
     g, _ = _stack(spark, d)
     row = (float(g.min_x), float(g.max_y), g.rows, g.cols, g.channels, g.tile_size, g.chunk_size, g.channel_index("heat"), g.channel_index("cold"))
