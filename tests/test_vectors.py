@@ -87,7 +87,7 @@ def _table(spark, n=6000):
 def test_a_small_batch_reads_few_buckets_of_the_index_and_shuffles_none_of_it(spark):
     t = _table(spark)
     new = spark.createDataFrame([(5, 2, "b"), (99_999, 2, "b")], "k long, o long, v string")
-    places = t.with_places(new, t._held(t._log()), t.few(new))
+    places = t.with_places(new, t._held(t._log()), t.few(new, t._held(t._log())))
     got = {r.k: (r["__o"], r["__old_file"]) for r in places.collect()}
     assert got[99_999] == (None, None) and got[5][0].o == 1 and got[5][1]
     assert len(t.touched(new)) <= 2 < len(t._index(t._held(t._log())).inputFiles())

@@ -98,9 +98,12 @@ class VectorTable:
         """The buckets of the index that a batch's keys lie in."""
         return sorted(new.agg(F.collect_set(self._bucket()).alias("b")).first().b)  # one bucket each at most
 
-    def few(self, changes: DataFrame) -> bool:
-        """Whether the keys of a batch, by the number of its changes, are few enough to be sent to every task."""
-        return changes.count() * row_bytes(changes.select(*[col(k) for k in self.keys]).schema) <= BROADCAST_BYTES
+    def few(self, changes: DataFrame, held: list[str]) -> bool:
+        """Whether the keys of a batch, by the number of its changes, are few beside the index, and few enough to be sent to every
+        task. The index's size is that of its files."""
+        stored = sum(shared.size(self.spark, f"{self.root}/index/{at}") for at in held)
+        most = min(BROADCAST_BYTES, stored // 4) // row_bytes(changes.select(*[col(k) for k in self.keys]).schema)
+        return changes.limit(most + 1).count() <= most
 
     def with_places(self, new: DataFrame, held: list[str], few: bool) -> DataFrame:
         """``new`` with the order (__o) and place (__old_file, __old_pos) of the newest stored image of each key, nulls where there
@@ -127,7 +130,7 @@ class VectorTable:
         held, n = self._held(log), len(log)
         new = self.reduce(changes)
         if held:
-            few = self.few(changes)
+            few = self.few(changes, held)
             new = shared.written(new, "batch") if few else new
             newer = F.col("__o").isNull() | (F.struct(*[col(c) for c in self.order]) > F.col("__o"))
             images = self.with_places(new, held, few).filter(newer).drop("__o")
